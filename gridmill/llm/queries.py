@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .packing import pack_documents
+from .simhash import near_duplicates
 from .token_counts import token_counts
 
 
@@ -23,9 +24,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLE: dict[str, str] = {}
