@@ -26,9 +26,55 @@ def load(path: str):
     """Tokenizer, and its special strings with their ids."""
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(path), {x["content"].encode(): x["id"] for x in _added(path)}
+
+
+def byte_alphabet() -> dict[str, int]:
+    """Printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+#: Stands for the end of a word; no UTF-8 text holds this byte.
+END = b"\xff"
+
+
+@lru_cache(maxsize=4)
+def merger(path: str):
+    """Byte-pair merging of one pre-token, and each rank's id as unsigned 16-bit little-endian bytes.
+
+    tiktoken's merge loop takes the file's merges as ranks. With word ends, END
+    is a byte after the word, whose merges come before all others.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    alphabet, ends = byte_alphabet(), model["end_of_word_suffix"] or ""
+
+    def raw(entry: str) -> bytes:
+        last = ends and entry.endswith(ends)
+        return bytes(alphabet[c] for c in (entry[: -len(ends)] if last else entry)) + (END if last else b"")
+
+    ranks = {bytes([b]): b for b in range(256)}
+    if ends:
+        ranks |= {bytes([b]) + END: 256 + b for b in range(255)}
+    base = len(ranks)
+    for i, (left, right) in enumerate(model["merges"]):
+        ranks.setdefault(raw(left) + raw(right), base + i)
+    special = {x["content"] for x in _added(path)}
+    ids = {raw(entry): i for entry, i in model["vocab"].items() if entry not in special}
+    short = [b""] * (base + len(model["merges"]))
+    for entry, rank in ranks.items():
+        short[rank] = ids.get(entry, 0).to_bytes(2, "little")
+    return tiktoken._tiktoken.CoreBPE(ranks, {}, ".").encode_single_piece, short
+
+
+@lru_cache(maxsize=4)
+def _added(path: str) -> list[dict]:
     with open(path, encoding="utf-8") as f:
-        added = json.load(f)["added_tokens"]
-    return Tokenizer.from_file(path), {x["content"].encode(): x["id"] for x in added}
+        return json.load(f)["added_tokens"]
 
 
 def _plain(data: bytes) -> list[bytes]:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_pieces import load
+from .bpe_pieces import END, load, merger
 from .common import as_bytes, blocks, text_bytes
 
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
@@ -39,40 +40,50 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class _WordIds(dict):
-    """Ids of a word as unsigned 32-bit little-endian bytes, encoded once when first seen."""
+    """Ids of a word as unsigned 16-bit little-endian bytes, made once when first seen.
+
+    Plain words of letters go to the merge loop directly; others are
+    normalised and split as the tokenizer's file says, and a word that could
+    hold a special string or other white space goes to the tokenizer itself.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = load(path)[0]
+        import regex
+
+        tokenizer, self.specials = load(path)
+        if tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids beyond 16 bits")
+        self.whole = tokenizer.encode
+        self.merge, self.short = merger(path)
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        out = self[word] = np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        short = self.short
+        if word.isalpha():
+            out = b"".join([short[r] for r in self.merge(word.lower() + END)])
+        elif any(s in word for s in self.specials):
+            out = np.asarray(self.whole(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+        else:
+            text = word.decode()
+            text = text.lower() if word.isascii() else "".join([c.lower() for c in normalize("NFC", text)])
+            out = b"".join([short[r] for part in self.split(text) for r in self.merge(part.encode() + END)])
+        self[word] = out
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > KEPT_WORDS:
-            self.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.asarray(e.ids, "<u4").tobytes()
-
 
 _words: dict[str, _WordIds] = {}
 
 
-def encode_words(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Ids of each text for a tokenizer that drops white space.
+def encode_words(data: bytes, path: str) -> bytes:
+    """Ids of a text (two bytes each) for a tokenizer that lower-cases and drops white space.
 
     ASCII white space separates words for it, and a word's ids don't depend on
     its neighbours, so a text's ids are those of its words in order.
     """
-    table = _words.setdefault(path, _WordIds(path))
-    split = [t.split() for t in texts]
-    table.learn({w for words in split for w in words})
-    for words in split:
-        yield b"".join(map(table.__getitem__, words))
+    table = _words.get(path) or _words.setdefault(path, _WordIds(path))
+    return b"".join(map(table.__getitem__, data.split()))
 
 
 def pack_lengths(lengths: list[int], capacity: int = 2048) -> list[tuple[int, int, int, int, int]]:
@@ -132,15 +143,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Dat
     buckets = max(1, text_bytes(docs) // BUCKET_BYTES)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, place = np.asarray([END_ID], "<u4").tobytes(), 0
+        end, place = END_ID.to_bytes(2, "little"), 0
         for block in blocks(batches):
             keys = block.column("doc_id").cast(pa.int64())
-            ids = [x + end for x in encode_words(as_bytes(block.column("text")), tokenizer)]
+            ids = [encode_words(t, tokenizer) + end for t in as_bytes(block.column("text"))]
             # The place among a task's rows spreads repeated keys.
             homes = [zlib.crc32(b"%d %d" % (-1 if k is None else k, place + i)) % buckets for i, k in enumerate(keys.to_pylist())]
             place += len(ids)
-            short = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), keys, pa.array(short, pa.binary())], names=["bucket", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), keys, pa.array(ids, pa.binary())], names=["bucket", "doc_id", "ids"])
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")

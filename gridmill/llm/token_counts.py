@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe_pieces import WIDE_SPACE, load, pieces
+from .bpe_pieces import WIDE_SPACE, byte_alphabet, load, pieces
 from .common import as_bytes, blocks
 
 #: Pieces whose counts a worker keeps; beyond it the store starts anew.
@@ -35,13 +35,6 @@ _SPACE_START = re.compile(f"[\t-\r {WIDE_SPACE}]+")
 _SPACE_END = re.compile(f"[\t-\r {WIDE_SPACE}]$(?!\n)")
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """Printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Token counts of all prefixes of a piece, by dynamic programming."""
 
@@ -51,7 +44,7 @@ class PrefixCounter:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
         # Ranks replace ids: a single byte has its value, a merge 256 + its place.
         self.rank = {bytes([b]): b for b in range(256)}
