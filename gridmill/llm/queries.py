@@ -9,6 +9,7 @@ from .common import read_table
 from .hmm import score_documents
 from .html_text import extract_text
 from .packing import pack_documents
+from .pii import find_pii
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -45,6 +46,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op9_html_text": op9_html_text,
     "op10_ann": op10_ann,
 }
