@@ -28,11 +28,38 @@ SCHEMA = "chunk long, doc_ids array<long>, lengths binary, places binary, tags b
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, "<i4").tobytes())
+    """Compressed whole numbers below 2**31; bytes of equal weight lie together."""
+    planes = np.ascontiguousarray(values, "<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+def chunked(batches: Iterator[pa.RecordBatch], split: Callable[[bytes], list[bytes]]) -> Iterator[tuple[int, list, list[np.ndarray], list[bytes]]]:
+    """(chunk, keys, word numbers of each document, words) of a task's documents."""
+    chunk = TaskContext.get().partitionId() << 32
+
+    def fresh() -> defaultdict:
+        seen: defaultdict[bytes, int] = defaultdict()
+        seen.default_factory = seen.__len__
+        return seen
+
+    keys, coded, seen, held = [], [], fresh(), 0
+    for block in blocks(batches):
+        for key, text in zip(block.column("doc_id").cast(pa.int64()).to_pylist(), as_bytes(block.column("text")), strict=True):
+            parts = split(text)
+            keys.append(key)
+            coded.append(np.fromiter(map(seen.__getitem__, parts), np.int32, len(parts)))
+            held += len(text)
+        if held >= CHUNK_BYTES:
+            yield chunk, keys, coded, list(seen)
+            chunk += 1
+            keys, coded, seen, held = [], [], fresh(), 0
+    if keys:
+        yield chunk, keys, coded, list(seen)
 
 
 def numbered(docs: DataFrame, split: Callable[[bytes], list[bytes]], counted: Callable[[int | None], bool], tag: Callable[[bytes], int] | None = None) -> DataFrame:
@@ -41,45 +68,22 @@ def numbered(docs: DataFrame, split: Callable[[bytes], list[bytes]], counted: Ca
     tag: a number for each word; a chunk row has those of its words in order.
     """
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("places", pa.binary()), ("tags", pa.binary()), ("idx", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("places", pa.binary()), ("tags", pa.binary()), ("idx", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
 
-        def rows(keys: list, coded: list[np.ndarray], seen: dict) -> Iterator[pa.RecordBatch]:
-            n = len(seen)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, keys, coded, words in chunked(batches, split):
+            n = len(words)
             take = [c for k, c in zip(keys, coded, strict=True) if counted(k)]
             counts = np.bincount(np.concatenate(take), minlength=n) if take else np.zeros(n, np.int64)
-            every = np.concatenate(coded) if coded else np.zeros(0, np.int32)
-            tags = squeeze(np.fromiter(map(tag, seen), np.int32, n)) if tag else None
-            head = [[chunk], [keys], [squeeze(np.array([len(c) for c in coded]))], [squeeze(every)], [tags], [None], [None], [None]]
+            tags = squeeze(np.fromiter(map(tag, words), np.int32, n)) if tag else None
+            head = [[chunk], [keys], [squeeze(np.array([len(c) for c in coded]))], [squeeze(np.concatenate(coded))], [tags], [None], [None], [None]]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(head, schema, strict=True)], schema=schema)
-            words = list(seen)
             for at in range(0, n, 50_000):
                 part = words[at : at + 50_000]
                 m = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, chunk)), pa.nulls(m, schema[1].type), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(part, pa.binary()), pa.array(counts[at : at + m].astype(np.int64))],
-                    schema=schema,
-                )
-
-        def fresh() -> defaultdict:
-            seen: defaultdict[bytes, int] = defaultdict()
-            seen.default_factory = seen.__len__
-            return seen
-
-        keys, coded, seen, held = [], [], fresh(), 0
-        for block in blocks(batches):
-            for key, text in zip(block.column("doc_id").cast(pa.int64()).to_pylist(), as_bytes(block.column("text")), strict=True):
-                parts = split(text)
-                keys.append(key)
-                coded.append(np.fromiter(map(seen.__getitem__, parts), np.int32, len(parts)))
-                held += len(text)
-            if held >= CHUNK_BYTES:
-                yield from rows(keys, coded, seen)
-                chunk += 1
-                keys, coded, seen, held = [], [], fresh(), 0
-        if keys:
-            yield from rows(keys, coded, seen)
+                none = [pa.nulls(m, f.type) for f in schema]
+                none[0], none[5], none[6], none[7] = pa.array(np.full(m, chunk)), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(part, pa.binary()), pa.array(counts[at : at + m].astype(np.int64))
+                yield pa.RecordBatch.from_arrays(none, schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(make, SCHEMA)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann
+from .bpe_codec import codec_digests
 from .common import read_table
 from .hmm import score_documents
 from .html_text import extract_text
@@ -50,6 +51,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
+    "op8_bpe_codec": op8_bpe_codec,
     "op9_html_text": op9_html_text,
     "op10_ann": op10_ann,
 }
