@@ -63,6 +63,12 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_hmm_score": op1_hmm_score,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +80,7 @@ QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_html_text": op9_html_text,
     "op10_ann": op10_ann,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {}
