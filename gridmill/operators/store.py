@@ -1,0 +1,77 @@
+"""Append-only store keyed by a primary key: equal rows are ignored, differing ones are conflicts."""
+
+from __future__ import annotations
+
+import difflib
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+class RowMismatchError(RuntimeError):
+    """A key has a row already, and another one came."""
+
+    def __init__(self, key: object, old: dict, new: dict):
+        self.key, self.old, self.new = key, old, new
+        super().__init__(f"another row for {key!r}")
+
+    def rowdiff(self) -> str:
+        lines = lambda row: [f"{k}: {v!r}" for k, v in row.items()]
+        return "\n".join(difflib.unified_diff(lines(self.old), lines(self.new), "existing", "new", lineterm=""))
+
+
+
+def first_rows(df: DataFrame, keys: list[str], ordinal: str | None = None) -> DataFrame:
+    """One row for each key: the earliest by ordinal, or the least."""
+    rest = [c for c in df.columns if c not in keys and c != ordinal]
+    body = F.struct(*(rest or [F.lit(1).alias("none")]))
+    best = F.min_by(body, ordinal) if ordinal else F.min(body)
+    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
+
+
+def conflicts_within(df: DataFrame, keys: list[str], ordinal: str | None = None) -> DataFrame:
+    """keys, n_rows: keys with more than one distinct row, nulls being equal to nulls."""
+    rest = [c for c in df.columns if c not in keys and c != ordinal]
+    distinct = df.select(*keys, *rest).distinct()
+    return distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+
+
+def conflicts_between(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, changed: new rows that differ from the stored row of their key, and in which columns."""
+    rest = [c for c in new.columns if c not in keys]
+    old = stored.select(*keys, *(F.col(c).alias(f"_old_{c}") for c in rest))
+    changed = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"_old_{c}")), F.lit(c)) for c in rest)).cast("array<string>"))
+    return new.join(old, keys).withColumn("changed", changed).filter(F.size("changed") > 0)
+
+
+def new_rows(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """New rows whose key is not stored yet, one for each key."""
+    return first_rows(new.join(stored.select(*keys), keys, "left_anti"), keys)
+
+
+def append_or_conflict(spark: SparkSession, table: str, new: DataFrame, keys: list[str], mode: str = "raise") -> DataFrame:
+    """Append what is new to a table; rows that contradict stored ones raise, or come back with mode "report"."""
+    if not spark.catalog.tableExists(table):
+        spark.createDataFrame([], new.schema).write.option("compression", "zstd").saveAsTable(table)
+    stored = spark.table(table)
+    clash = conflicts_between(stored, new, keys).select(*keys).unionByName(conflicts_within(new, keys).select(*keys)).distinct()
+    if mode == "raise" and (bad := clash.head()) is not None:
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(bad[k])) for k in keys))
+        held = [r.asDict() for r in stored.filter(same).limit(1).collect()] + [r.asDict() for r in new.filter(same).distinct().limit(2).collect()]
+        raise RowMismatchError(tuple(bad), held[0], held[-1])
+    fresh = new_rows(stored, new.join(clash, keys, "left_anti"), keys)
+    fresh.select(*spark.table(table).columns).write.mode("append").saveAsTable(table)
+    return clash
+
+
+def latest_rows(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """The last row of each key by ordinal."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(ordinal))
+    return df.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+
+
+def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """columns, n: values that occur more than once."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
