@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Control characters beyond TAB, CR, LF and NUL; bytes that Windows-1252 lacks.
 CONTROLS = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
@@ -71,7 +72,7 @@ def decodable_as(encodings: list[str]):
                 continue
         return out
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def udf(column: pd.Series) -> pd.Series:
         return column.map(tried)
 
@@ -82,18 +83,18 @@ def _named(text: str | None) -> str | None:
     return None if text is None else " + ".join(f"U+{ord(c):04X} {unicodedata.name(c, '(unnamed)')}" for c in text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def character_names(column: pd.Series) -> pd.Series:
     """Code points with their names, which no built-in function has."""
     return column.map(_named)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(column: pd.Series) -> pd.Series:
     """Normal form C."""
     return column.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(column: pd.Series) -> pd.Series:
     return column.map(lambda x: None if x is None else x.casefold())

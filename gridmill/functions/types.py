@@ -222,10 +222,9 @@ def infer_type(column: Column, safe: bool = False) -> Column:
 
 
 def infer_types(df: DataFrame, safe: bool = False) -> DataFrame:
-    """name, reftype of every column, in one pass over the table."""
-    found = df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)).agg(*(infer_type(F.col(c), safe).alias(c) for c in df.columns))
-    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("reftype")) for c in df.columns))
-    return found.select(F.inline(pairs))
+    """name, reftype of every column, in one pass; cells become rows, and each task sends one row a column."""
+    cells = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in df.columns))
+    return df.select(F.inline(cells)).groupBy("name").agg(infer_type(F.col("value"), safe).alias("reftype"))
 
 
 def type_violations(df: DataFrame, types: dict[str, RefType], keys: list[str]) -> DataFrame:

@@ -73,7 +73,7 @@ def reconcile(sums: DataFrame, files: DataFrame, ignore_path: bool = False) -> D
     plain = files.filter("code <> 'SKIP'").select(key.alias("key"), "fn", "ord")
     by_key = Window.partitionBy("key").orderBy("ord")
     listed = plain.withColumns({"nth": F.row_number().over(by_key), "prior": F.lag("fn").over(by_key)})
-    doubled = listed.filter("nth > 1").select(F.col("key").alias("fn"), F.lit("DUPEFN").alias("code"), F.lit(None).cast("string").alias("hsh"), F.format_string("filename appears more than once (%s vs. %s)", "prior", "fn").alias("msg"))
+    doubled = listed.filter("nth > 1").select(F.col("key").alias("fn"), F.lit("DUPEFN").alias("code"), F.lit(None).cast("string").alias("hsh"), F.format_string("one name for %s and %s", "prior", "fn").alias("msg"))
     left = plain.groupBy("key").agg(F.max_by("fn", "ord").alias("file"), (F.count(F.lit(1)) > 1).alias("doubled"))
     lines = sums.groupBy("fn", "hsh").agg(F.min("ord").alias("ord")).withColumn("key", key)
     first = lines.groupBy("key").agg(F.min_by("hsh", "ord").alias("first_hsh"), F.min_by("fn", "ord").alias("line_fn"), (F.min("hsh") != F.max("hsh")).alias("differs"))
@@ -84,16 +84,16 @@ def reconcile(sums: DataFrame, files: DataFrame, ignore_path: bool = False) -> D
     )
     hsh = F.when(code == "NEEDSVALIDATE", F.col("first_hsh"))
     matched = met.filter(present | F.lit(ignore_path)).select(
-        F.coalesce("file", "key").alias("fn"), code.alias("code"), hsh.alias("hsh"), F.when(code == "MISSING", F.lit("file is missing")).alias("msg")
+        F.coalesce("file", "key").alias("fn"), code.alias("code"), hsh.alias("hsh"), F.when(code == "MISSING", F.lit("no such file")).alias("msg")
     )
     facts = lines.join(first, "key").join(left.select("key", "file"), "key", "left")
     known = F.col("file").isNotNull() | F.lit(ignore_path)
     bad = facts.filter(known & (F.col("hsh") != F.col("first_hsh"))).select(
-        F.col("key").alias("fn"), F.lit("BADINPUT").alias("code"), F.lit(None).cast("string").alias("hsh"), F.format_string("file appears more than once with differing checksums (%s vs. %s)", "first_hsh", "hsh").alias("msg")
+        F.col("key").alias("fn"), F.lit("BADINPUT").alias("code"), F.lit(None).cast("string").alias("hsh"), F.format_string("two digests for one name: %s and %s", "first_hsh", "hsh").alias("msg")
     )
     out = skipped.unionByName(doubled).unionByName(matched).unionByName(bad)
     if not ignore_path:
-        lost = facts.filter("file is null").select("fn", F.lit("MISSING").alias("code"), F.lit(None).cast("string").alias("hsh"), F.lit("file not found").alias("msg"))
+        lost = facts.filter("file is null").select("fn", F.lit("MISSING").alias("code"), F.lit(None).cast("string").alias("hsh"), F.lit("no file of this name").alias("msg"))
         out = out.unionByName(lost)
     return out
 
@@ -108,7 +108,7 @@ def validate(results: DataFrame, contents: DataFrame) -> DataFrame:
         "fn",
         F.when(asked & (F.col("got") == F.col("hsh")), "SUMOK").when(asked, "SUMMISMATCH").otherwise(F.col("code")).alias("code"),
         "hsh",
-        F.when(asked & (F.col("got") != F.col("hsh")), F.format_string("checksum mismatch, calculated %s, expected %s", "got", "hsh")).otherwise(F.col("msg")).alias("msg"),
+        F.when(asked & (F.col("got") != F.col("hsh")), F.format_string("digest is %s, listed is %s", "got", "hsh")).otherwise(F.col("msg")).alias("msg"),
     )
 
 

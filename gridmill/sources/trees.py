@@ -29,7 +29,7 @@ def list_files(path: str, report_dirs: bool = False) -> Iterator[tuple[str, str,
     for entry in under:
         kind = kind_of(os.lstat(entry).st_mode)
         if kind == "symlink":
-            yield entry, entry, "SKIP", f"skipping symlink {entry} -> {os.readlink(entry)}"
+            yield entry, entry, "SKIP", f"link to {os.readlink(entry)}"
             continue
         real = os.path.realpath(entry)
         if real in seen:
@@ -38,7 +38,7 @@ def list_files(path: str, report_dirs: bool = False) -> Iterator[tuple[str, str,
         if kind == "file":
             yield real, entry, "NONE", None
         elif kind != "directory" or report_dirs:
-            yield real, entry, "SKIP", f"skipping {kind} {real}"
+            yield real, entry, "SKIP", f"a {kind}"
 
 
 class FileTreeDataSource(DataSource):
