@@ -20,6 +20,11 @@ def _whole(column: Column, pattern: str) -> Column:
     return column.rlike(rf"\A(?:{pattern})\z")
 
 
+def _digits(column: Column, pattern: str) -> Column:
+    """A whole number, null where the form differs; only texts of the form are cast, as failing casts are slow."""
+    return F.when(_whole(column, pattern), column).try_cast("bigint")
+
+
 def is_nan(column: Column) -> Column:
     return F.lower(column) == "nan"
 
@@ -116,7 +121,7 @@ class NonNegInt(RefType):
     postgres = "INTEGER"
 
     def accepts(self, column: Column) -> Column:
-        return _whole(column, "0|[1-9][0-9]*") & F.coalesce(column.try_cast("bigint") < 2**31, F.lit(False))
+        return F.coalesce(_digits(column, "0|[1-9][0-9]*") < 2**31, F.lit(False))
 
     def convert(self, column: Column) -> Column:
         return column.try_cast("int")
@@ -128,7 +133,7 @@ class BigInt(RefType):
     postgres = "BIGINT"
 
     def accepts(self, column: Column) -> Column:
-        return _whole(column, "-?(?:0|[1-9][0-9]*)") & column.try_cast("bigint").isNotNull()
+        return _digits(column, "-?(?:0|[1-9][0-9]*)").isNotNull()
 
     def convert(self, column: Column) -> Column:
         return column.try_cast("bigint")
@@ -201,30 +206,40 @@ def parse_type(name: str) -> RefType:
 CANDIDATES: tuple[RefType, ...] = (OnlyNan(), NonNegInt(), BigInt(), TimestampNoTz(), TimestampWithTz(), Num())
 
 
-def infer_type(column: Column, safe: bool = False) -> Column:
-    """Aggregate: the name of the narrowest type of all values; null if none fits or there are none.
+def _facts(column: Column) -> dict[str, Column]:
+    """What inference needs of one value: which candidates fit, and a number's digits."""
+    number = F.when(Num().accepts(column), column)
+    whole, fraction = F.split_part(number, F.lit("."), F.lit(1)), F.split_part(number, F.lit("."), F.lit(2))
+    sizes = {"scale": F.length(fraction), "whole": F.length(F.ltrim(whole, F.lit("-")))}
+    return {f"fits_{i}": t.check(column) for i, t in enumerate(CANDIDATES)} | sizes
+
+
+def _inferred(safe: bool) -> Column:
+    """Aggregate over _facts() columns: the name of the narrowest type of all values."""
+    scale = F.max("scale")
+    digits = F.max("whole") + scale if safe else F.max(F.col("whole") + F.col("scale"))
+    named = F.when(scale > 0, F.format_string("Num(%d,%d)", digits, scale)).otherwise(F.format_string("Num(%d)", digits))
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for i, t in enumerate(CANDIDATES):
+        out = out.when(F.bool_and(f"fits_{i}"), named if isinstance(t, Num) else F.lit(repr(t)))
+    return out.otherwise(F.lit(None).cast("string"))
+
+
+def infer_type(df: DataFrame, column: str, safe: bool = False) -> DataFrame:
+    """One row, reftype: the narrowest type of all values; null if none fits or there are none.
 
     A number's precision is the most digits of any value and its scale the most
     fraction digits, each taken by itself; with safe, the precision holds the
     longest integer and fraction parts together.
     """
-    fits = [F.bool_and(t.check(column)) for t in CANDIDATES]
-    number = F.when(is_nan(column) | ~Num().check(column), F.lit(None)).otherwise(column)
-    whole = F.length(F.regexp_replace(F.split_part(number, F.lit("."), F.lit(1)), "[^0-9]", ""))
-    scale = F.max(F.length(F.split_part(number, F.lit("."), F.lit(2))))
-    digits = F.max(whole) + scale if safe else F.max(F.length(F.regexp_replace(number, "[^0-9]", "")))
-    named = F.when(scale > 0, F.format_string("Num(%d,%d)", digits, scale)).otherwise(F.format_string("Num(%d)", digits))
-    out = None
-    for t, fit in zip(CANDIDATES, fits, strict=True):
-        name = named if isinstance(t, Num) else F.lit(repr(t))
-        out = F.when(fit, name) if out is None else out.when(fit, name)
-    return out.otherwise(F.lit(None))
+    return df.select(*(c.alias(n) for n, c in _facts(F.col(column).cast("string")).items())).agg(_inferred(safe).alias("reftype"))
 
 
 def infer_types(df: DataFrame, safe: bool = False) -> DataFrame:
     """name, reftype of every column, in one pass; cells become rows, and each task sends one row a column."""
     cells = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in df.columns))
-    return df.select(F.inline(cells)).groupBy("name").agg(infer_type(F.col("value"), safe).alias("reftype"))
+    facts = df.select(F.inline(cells)).select("name", *(c.alias(n) for n, c in _facts(F.col("value")).items()))
+    return facts.groupBy("name").agg(_inferred(safe).alias("reftype"))
 
 
 def type_violations(df: DataFrame, types: dict[str, RefType], keys: list[str]) -> DataFrame:
