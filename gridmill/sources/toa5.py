@@ -116,8 +116,11 @@ def file_rows(files: list[str], data: bytes, loggers: list[Logger], table: Table
         raise NotImplementedError("plain CSV files have no reader yet")
     if kind != "TOA5":
         return
-    rows = csv.reader(io.TextIOWrapper(io.BytesIO(data), encoding="ascii", newline=""), strict=True)
+    # Read as Latin-1, so that a byte beyond ASCII breaks its own row only.
+    rows = csv.reader(io.StringIO(data.decode("latin-1"), newline=""), strict=True)
     env, columns = read_header(rows)
+    if not all(x.isascii() for c in columns for x in (c.name, c.unit, c.prc)) or not all(map(str.isascii, env.values())):
+        raise Toa5Error("the header is not ASCII")
     try:
         found, layout = match_header(env, columns, loggers)
     except NoTableMatch:
@@ -128,21 +131,23 @@ def file_rows(files: list[str], data: bytes, loggers: list[Logger], table: Table
         return
     names = [env[k] for k in ENVIRONMENT]
     while True:
-        error, full = None, [None] * len(table.columns)
+        error, broken, full = None, False, [None] * len(table.columns)
         try:
             row = next(rows)
             if len(row) != len(layout):
                 raise RecordError(f"{files}:{rows.line_num}: {len(row)} fields, not {len(layout)}")
+            if not all(map(str.isascii, row)):
+                raise RecordError(f"{files}:{rows.line_num}: not ASCII")
             for place, value in zip(layout, row, strict=True):
                 full[place] = value
         except StopIteration:
             return
-        except (csv.Error, UnicodeDecodeError, RecordError) as e:
+        except (csv.Error, RecordError) as e:
             if mode != "PERMISSIVE":
                 raise e if isinstance(e, RecordError) else RecordError(f"{files}:{rows.line_num}: {e}") from e
-            error = str(e)
+            error, broken = str(e), isinstance(e, csv.Error)
         yield (*full, (files, rows.line_num, "TOA5", tuple(names)), error)
-        if error and "fields" not in error:
+        if broken:  # the reader cannot tell where the next row starts
             return
 
 
