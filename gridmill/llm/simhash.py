@@ -199,8 +199,8 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
             break
         finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(t)) for t in thirds(m)]))])
         hot = rows.join(sizes.filter(F.col("size") > group), ["mask", "part"], "left_semi")
-        rows = hot.select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
-        masks = [t for m in masks for t in thirds(m)]
+        rows = hot.select("fp", F.explode(finer[F.col("mask")]).alias("mask")).distinct()
+        masks = sorted({t for m in masks for t in thirds(m)})  # different ways can lead to one mask
     return out
 
 
