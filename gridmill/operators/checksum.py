@@ -121,3 +121,18 @@ def generate_manifest(contents: DataFrame, algorithm: str = "sha512", sort: str
     if orders[sort]:
         hashed = hashed.orderBy(*orders[sort])
     return hashed.select(to_line(F.col("hsh"), F.col("fn")).alias("value"))
+
+
+def with_ordinal(df: DataFrame, columns: list[str], prefix: int, out: str = "ordinal") -> DataFrame:
+    """Adds each row's place in the order of columns, from 1, without gathering the rows in one task.
+
+    Rows are numbered among those that share the first column's first `prefix`
+    characters, which keeps the order; only the counts of prefixes are summed up
+    in one place.
+    """
+    bucketed = df.withColumn("_bucket", F.substring(columns[0], 1, prefix))
+    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    skipped = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*columns))
+    return bucketed.withColumn("_inside", inside).join(skipped, "_bucket").withColumn(out, F.col("_skip") + F.col("_inside")).drop("_bucket", "_inside", "_skip")

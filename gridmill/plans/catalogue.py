@@ -391,23 +391,18 @@ def reconcile_dupes(spark, sf_dir):
     return checksum.reconcile(sums.unionByName(more), files, ignore_path=True).select("fn", "code")
 
 
-def _sorted_manifest(name: str, columns: list[str]):
+def _sorted_manifest(name: str, columns: list[str], prefix: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = _files(spark, sf_dir).select("fn", F.md5(F.col("text").cast("binary")).alias("hsh"), F.col("ord").alias("place"))
-        ranked = f.orderBy(*columns)
-        # Global places without a single task: rows of range partitions are counted, then numbered within each.
-        parts = ranked.withColumn("part", F.spark_partition_id()).withColumn("in_part", F.monotonically_increasing_id())
-        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("in_part").alias("base"))
-        before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part", "a.base").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("skip"))
-        return parts.join(F.broadcast(before), "part").select("fn", "hsh", (F.col("skip") + F.col("in_part") - F.col("base") + 1).cast("long").alias("ordinal"))
+        return checksum.with_ordinal(f, columns, prefix).select("fn", "hsh", "ordinal")
 
     run.__name__ = name
     keys = ", ".join({"place": "ord"}.get(c, c) for c in columns)
     return query(f"SELECT fn, hsh, row_number() OVER (ORDER BY {keys}) AS ordinal FROM (SELECT fn, md5(text) AS hsh, ord FROM ({_FILES}))")(run)
 
 
-for _name, _keys in (("sort_by_line", ["hsh", "fn", "place"]), ("sort_by_hash", ["hsh", "place"]), ("sort_by_file", ["fn", "place"])):
-    _sorted_manifest(_name, _keys)
+for _name, _keys, _prefix in (("sort_by_line", ["hsh", "fn", "place"], 3), ("sort_by_hash", ["hsh", "place"], 3), ("sort_by_file", ["fn", "place"], 13)):
+    _sorted_manifest(_name, _keys, _prefix)
 
 
 # --- texts and names -----------------------------------------------------------------------------
