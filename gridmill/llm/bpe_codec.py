@@ -19,11 +19,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 
 from .bpe_pieces import _added, byte_alphabet, load, merger, pieces
-from .chunks import chunked, squeeze, unsqueeze
+from .chunks import chunked, pack_bytes, squeeze, unpack_bytes, unsqueeze
 from .common import staged, text_bytes
 
 #: Bytes of text whose words share a part, about.
@@ -73,13 +72,13 @@ def _encoder(path: str) -> WordEncoder:
 
 def _pack(words: list[bytes]) -> bytes:
     sizes = squeeze(np.fromiter(map(len, words), np.int32, len(words)))
-    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=1).compress(b"".join(words))
+    return len(sizes).to_bytes(4, "little") + sizes + pack_bytes(b"".join(words))
 
 
 def _unpack(data: bytes) -> list[bytes]:
     n = int.from_bytes(data[:4], "little")
     ends = np.cumsum(unsqueeze(data[4 : 4 + n])).tolist()
-    joined = zstandard.ZstdDecompressor().decompress(data[4 + n :])
+    joined = unpack_bytes(data[4 + n :])
     return [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
@@ -123,7 +122,7 @@ def encode_parts(packed: DataFrame, tokenizer: str) -> DataFrame:
                 if (x := known.get(w)) is None:
                     x = known[w] = encoder(w)
                 ids.append(x)
-            out.append((chunk, part, squeeze(np.fromiter(map(len, ids), np.int32, len(ids))), zstandard.ZstdCompressor(level=1).compress(b"".join(ids))))
+            out.append((chunk, part, squeeze(np.fromiter(map(len, ids), np.int32, len(ids))), pack_bytes(b"".join(ids))))
         return pd.DataFrame(out, columns=["chunk", "part", "sizes", "ids"])
 
     return packed.select("chunk", "part", "words").groupBy("part").applyInPandas(encode, ENCODED)
@@ -137,7 +136,7 @@ def _joined(chunk: pd.Series, encoded: pd.DataFrame) -> Iterator[tuple[int | Non
     at = 0
     for sizes, ids in zip(encoded["sizes"], encoded["ids"], strict=True):
         ends = np.cumsum(unsqueeze(sizes)).tolist()
-        raw = zstandard.ZstdDecompressor().decompress(ids)
+        raw = unpack_bytes(ids)
         for a, b in zip([0, *ends[:-1]], ends, strict=True):
             words[order[at]] = raw[a:b]
             at += 1

@@ -23,19 +23,49 @@ from pyspark.sql import functions as F
 from .common import as_bytes, blocks
 
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 24_000_000
+LEVEL = 6
 SCHEMA = "chunk long, doc_ids array<long>, lengths binary, places binary, tags binary, idx int, word binary, n long"
 
 
+def pack_bytes(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(data)
+
+
+def unpack_bytes(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def squeeze(values: np.ndarray) -> bytes:
-    """Compressed whole numbers below 2**31; bytes of equal weight lie together."""
-    planes = np.ascontiguousarray(values, "<i4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Compressed whole numbers below 2**28: seven bits a byte, least first, the top bit set if more follow."""
+    out = []
+    for at in range(0, len(values), 1 << 18):
+        x = np.asarray(values[at : at + (1 << 18)], np.int32)
+        size = 1 + (x >= 1 << 7) + (x >= 1 << 14) + (x >= 1 << 21)
+        spread = np.stack([x >> 7 * k & 127 | (size > k + 1) << 7 for k in range(4)], axis=1).astype(np.uint8)
+        out.append(spread[np.arange(4) < size[:, None]].tobytes())
+    return pack_bytes(b"".join(out))
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+    raw = np.frombuffer(unpack_bytes(data), np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    out = (raw[starts] & 127).astype(np.int32)
+    for k in range(1, 4):
+        more = np.flatnonzero(ends - starts >= k)
+        out[more] |= (raw[starts[more] + k] & 127).astype(np.int32) << 7 * k
+    return out
+
+
+def by_frequency(coded: list[np.ndarray], words: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Words renumbered from the most frequent down: small numbers are short when squeezed."""
+    if not words:
+        return coded, words
+    order = np.argsort(-np.bincount(np.concatenate(coded), minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words), dtype=np.int32)
+    return [rank[c] for c in coded], [words[i] for i in order.tolist()]
 
 
 def chunked(batches: Iterator[pa.RecordBatch], split: Callable[[bytes], list[bytes]]) -> Iterator[tuple[int, list, list[np.ndarray], list[bytes]]]:
@@ -55,11 +85,11 @@ def chunked(batches: Iterator[pa.RecordBatch], split: Callable[[bytes], list[byt
             coded.append(np.fromiter(map(seen.__getitem__, parts), np.int32, len(parts)))
             held += len(text)
         if held >= CHUNK_BYTES:
-            yield chunk, keys, coded, list(seen)
+            yield chunk, keys, *by_frequency(coded, list(seen))
             chunk += 1
             keys, coded, seen, held = [], [], fresh(), 0
     if keys:
-        yield chunk, keys, coded, list(seen)
+        yield chunk, keys, *by_frequency(coded, list(seen))
 
 
 def numbered(docs: DataFrame, split: Callable[[bytes], list[bytes]], counted: Callable[[int | None], bool], tag: Callable[[bytes], int] | None = None) -> DataFrame:
