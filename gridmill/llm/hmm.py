@@ -31,7 +31,7 @@ SAMPLE_DOCS, SAMPLE_TOKENS, SAMPLE_PASSES, PASSES = 600, 400, 12, 1
 #: Weight of the overall bucket distribution in each state's.
 SMOOTH = 3000.0
 #: Tokens whose forward probabilities are held at once.
-HELD_TOKENS = 1_000_000
+HELD_TOKENS = 400_000
 FOLDS, HELD_FOLD = 7, 2
 SEED = 5
 
@@ -165,7 +165,8 @@ def train(chunks: DataFrame, prior: np.ndarray) -> Model:
     """chunks: chunk, doc_ids, lengths, places, tags (buckets of the chunk's words in order)."""
     spark = chunks.sparkSession
     sample: list[np.ndarray] = []
-    for row in chunks.orderBy(F.xxhash64("chunk"), "chunk").limit(4).toLocalIterator():
+    picked = [r["chunk"] for r in chunks.select("chunk").orderBy(F.xxhash64("chunk"), "chunk").limit(4).collect()]
+    for row in chunks.filter(F.col("chunk").isin(picked)).orderBy("chunk").toLocalIterator() if picked else ():
         docs = _documents(row, unsqueeze(row["tags"]))
         sample += [d[:SAMPLE_TOKENS] for k, d in sorted(zip(row["doc_ids"], docs, strict=True), key=lambda x: (zlib.crc32(b"%d" % (x[0] or 0)), x[0] or 0)) if trains(k)][:SAMPLE_DOCS]
     model = initial(sample[:SAMPLE_DOCS], prior)
