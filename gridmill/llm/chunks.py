@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, blocks
 
-#: Bytes of text in a chunk, about.
-CHUNK_BYTES = 24_000_000
-LEVEL = 6
+#: Bytes of text in a chunk, about; a larger chunk repeats fewer words, and takes more of a worker's memory.
+CHUNK_BYTES = 32_000_000
+LEVEL = 9
 SCHEMA = "chunk long, doc_ids array<long>, lengths binary, places binary, tags binary, idx int, word binary, n long"
 
 
@@ -68,7 +68,7 @@ def by_frequency(coded: list[np.ndarray], words: list[bytes]) -> tuple[list[np.n
     return [rank[c] for c in coded], [words[i] for i in order.tolist()]
 
 
-def chunked(batches: Iterator[pa.RecordBatch], split: Callable[[bytes], list[bytes]]) -> Iterator[tuple[int, list, list[np.ndarray], list[bytes]]]:
+def chunked(batches: Iterator[pa.RecordBatch], split: Callable[[bytes], list[bytes]], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list, list[np.ndarray], list[bytes]]]:
     """(chunk, keys, word numbers of each document, words) of a task's documents."""
     chunk = TaskContext.get().partitionId() << 32
 
@@ -84,7 +84,7 @@ def chunked(batches: Iterator[pa.RecordBatch], split: Callable[[bytes], list[byt
             keys.append(key)
             coded.append(np.fromiter(map(seen.__getitem__, parts), np.int32, len(parts)))
             held += len(text)
-        if held >= CHUNK_BYTES:
+        if held >= most:
             yield chunk, keys, *by_frequency(coded, list(seen))
             chunk += 1
             keys, coded, seen, held = [], [], fresh(), 0
@@ -92,7 +92,7 @@ def chunked(batches: Iterator[pa.RecordBatch], split: Callable[[bytes], list[byt
         yield chunk, keys, *by_frequency(coded, list(seen))
 
 
-def numbered(docs: DataFrame, split: Callable[[bytes], list[bytes]], counted: Callable[[int | None], bool], tag: Callable[[bytes], int] | None = None) -> DataFrame:
+def numbered(docs: DataFrame, split: Callable[[bytes], list[bytes]], counted: Callable[[int | None], bool], tag: Callable[[bytes], int] | None = None, most: int = CHUNK_BYTES) -> DataFrame:
     """Chunk rows (word null) and word rows (word set; n: occurrences in documents whose key is counted).
 
     tag: a number for each word; a chunk row has those of its words in order.
@@ -101,7 +101,7 @@ def numbered(docs: DataFrame, split: Callable[[bytes], list[bytes]], counted: Ca
     schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("places", pa.binary()), ("tags", pa.binary()), ("idx", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, keys, coded, words in chunked(batches, split):
+        for chunk, keys, coded, words in chunked(batches, split, most):
             n = len(words)
             take = [c for k, c in zip(keys, coded, strict=True) if counted(k)]
             counts = np.bincount(np.concatenate(take), minlength=n) if take else np.zeros(n, np.int64)

@@ -30,6 +30,8 @@ STATES, BUCKETS = 8, 1 << 15
 SAMPLE_DOCS, SAMPLE_TOKENS, SAMPLE_PASSES, PASSES = 600, 400, 12, 1
 #: Weight of the overall bucket distribution in each state's.
 SMOOTH = 3000.0
+#: Bytes of text in a chunk, about; the forward pass needs memory beside it.
+CHUNK_BYTES = 16_000_000
 #: Tokens whose forward probabilities are held at once.
 HELD_TOKENS = 400_000
 FOLDS, HELD_FOLD = 7, 2
@@ -203,7 +205,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     are alike. Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = staged(numbered(docs, words_of, trains, bucket_of), "hmm-chunks")
+    rows = staged(numbered(docs, words_of, trains, bucket_of, CHUNK_BYTES), "hmm-chunks")
     words, chunks = word_rows(rows), chunk_rows(rows)
     bucket = F.when(F.length("word") == 0, F.lit(0)).otherwise(F.crc32("word") % (BUCKETS - 1) + 1)
     counts = staged(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "hmm-counts")
