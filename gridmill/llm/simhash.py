@@ -37,20 +37,24 @@ FANOUT = 16
 DEALS = 4
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of a text: bit i is set if it is in over half of its shingles' hashes."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hash of each shingle in order; a shorter text is one shingle, a text without words has none."""
     words = data.lower().split()  # bytes: A-Z alone change, ASCII white space alone separates
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.concatenate([[0], np.cumsum(lengths)])
     ends = (starts[shingle:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends, strict=False)], np.uint64, len(ends))
-    return majority(hashes)
+    return np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends, strict=False)], np.uint64, len(ends))
+
+
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of a text: bit i is set if it is in over half of its shingles' hashes."""
+    return majority(shingle_hashes(data, shingle))
 
 
 def majority(hashes: np.ndarray) -> int:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import read_table
+from .near_copies import drop_near_copies
 from .packing import pack_documents
 from .pii import mask_pii
 from .quality import clean_documents
 from .queries import tokenizer_path
-from .simhash import near_duplicates
 from .toxicity import drop_toxic
 
 
@@ -25,14 +24,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group; of rows that repeat it, one.
+    """One row of each group of near copies (five-word shingles, Jaccard 0.8 or more), not op6's groups of two bits.
 
-    Documents without a doc_id stay, one of each text.
+    Kept is the row of smallest doc_id; a row without one stays only if no other does.
     """
-    groups = near_duplicates(docs)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("text_hash", F.xxhash64("text"))
-    return left.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
+    return drop_near_copies(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
