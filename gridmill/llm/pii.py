@@ -52,10 +52,14 @@ def _found(pattern: str, guard: str) -> Column:
     return F.when(F.contains(F.col("t"), F.lit(guard)), F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-#: Where each match lies: a match's text cannot occur between the last match's end and its own start.
+#: Where each match lies: a match's text cannot occur between the last match's end and its own start, as no guard rejects it there.
 _PLACED = """aggregate({m}, named_struct('p', 1, 's', cast(array() as array<struct<start:int,end:int,m:string>>)),
  (a, m) -> named_struct('p', locate(m, t, a.p) + char_length(m),
   's', array_append(a.s, named_struct('start', locate(m, t, a.p) - 1, 'end', locate(m, t, a.p) - 1 + char_length(m), 'm', m))), a -> a.s)"""
+#: The same where a guard can reject the text earlier: from the text before each match, which splitting by the pattern gives.
+_COUNTED = """aggregate(zip_with({m}, slice({b}, 1, size({m})), (m, b) -> named_struct('m', m, 'b', b)), named_struct('p', 0, 's', cast(array() as array<struct<start:int,end:int,m:string>>)),
+ (a, x) -> named_struct('p', a.p + char_length(x.b) + char_length(x.m),
+  's', array_append(a.s, named_struct('start', a.p + char_length(x.b), 'end', a.p + char_length(x.b) + char_length(x.m), 'm', x.m))), a -> a.s)"""
 
 _DIGITS = "regexp_replace(s.m, '[^0-9]', '')"
 _LUHN = (
@@ -117,11 +121,16 @@ def spans_with_votes(docs: DataFrame) -> DataFrame:
     )
     # Runs of digits too short for a card need no place: a card's text cannot lie inside a shorter run.
     names = {"email": "m_email", "ip": "m_ip", "card": "m_card", "phone": "m_phone", "local": "m_local", "secret": "m_secret"}
+    guarded = {"local": LOCAL_PHONE, "secret": SECRET}
     for k, m in names.items():
-        df = df.withColumn(k, F.expr(_PLACED.format(m=m)))
+        if k in guarded:
+            between = F.when(F.size(m) > 0, F.split("t", guarded[k], -1)).otherwise(F.array().cast("array<string>"))
+            df = df.withColumn(f"b_{k}", between).withColumn(k, F.expr(_COUNTED.format(m=m, b=f"b_{k}")))
+        else:
+            df = df.withColumn(k, F.expr(_PLACED.format(m=m)))
     parts = [_candidates(i, k) for i, k in enumerate(KINDS)] + [_candidates(3, "near")]
     whole = f"array_sort(concat({', '.join(parts)}))"
-    return df.withColumn("found", F.expr(whole)).drop(*names, *names.values())
+    return df.withColumn("found", F.expr(whole)).drop(*names, *names.values(), *(f"b_{k}" for k in guarded))
 
 
 VOTES = ("strict", "listed", "context")

@@ -238,6 +238,15 @@ def test_op7_odd(spark):
     assert pii.find_pii(df.limit(0)).collect() == []
 
 
+def test_guarded_matches_lie_where_they_match(spark):
+    key = "token = '04dbebab91ab85687d33'"
+    texts = ["Fax +1-555-123-4567, tel 555-123-4567.", f"é😀 my{key}, {key} and {key}", "none", "555-123-4567"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind in (3, 4) and not s.base] for r in pii.spans_with_votes(df).collect()}
+    secrets = [(m.start(), m.end()) for m in re.finditer("(?<!my)" + key, texts[1])]
+    assert len(secrets) == 2 and found == {0: [(25, 37)], 1: secrets, 2: [], 3: [(0, 12)]}
+
+
 def test_op7_runs_no_python(spark):
     plan = QUERIES["op7_pii"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
