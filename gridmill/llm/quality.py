@@ -26,7 +26,7 @@ WINDOW = 3
 # Symbols counted by the base rules, separators of menus, sentence marks.
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = (b"|", "»".encode(), "›".encode(), "•".encode(), "·".encode(), b" > ")
-SENTENCE_MARK = re.compile(r"[.!?,;:…。！？،؟]".encode())
+SENTENCE_MARK = re.compile("|".join(["[.!?,;:]", *"…。！？،؟"]).encode())  # whole marks: a class would take their single bytes
 # Phrases of licences, legal notices and site furniture.
 BOILERPLATE = re.compile(
     rb"all rights reserved|\blicen[sc]ed under\b|\breleased under the\b|\blicense, version\b|terms of (use|service)"

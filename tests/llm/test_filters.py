@@ -57,6 +57,11 @@ def test_line_rules(line, rule):
     assert quality.line_rule(line.encode()) == rule
 
 
+@pytest.mark.parametrize(("last", "rule"), [("Straße", "punctuation"), ("Tür", "punctuation"), ("„Ort“", "punctuation"), ("漢字", "punctuation"), *((f"漢字{m}", None) for m in "…。！？،؟")])
+def test_marks_are_whole_characters(last, rule):
+    assert quality.line_rule(f"der Weg in den Ort und dann die {last}".encode()) == rule
+
+
 def test_repeated_words_by_brute_force():
     r = random.Random(4)
     for _ in range(50):
