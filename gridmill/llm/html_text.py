@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,17 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose end tag may be left out: what opening one closes, and where the search for it ends.
+_LIST, _TABLE = frozenset("ul ol menu".split()), frozenset(("table",))
+IMPLIED = {
+    "p": (frozenset(("p",)), None),
+    "li": (frozenset(("li",)), _LIST),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), frozenset(("dl",)))),
+    **dict.fromkeys(("td", "th"), (frozenset(("td", "th")), _TABLE | {"tr"})),
+    "tr": (frozenset(("tr",)), _TABLE),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset(("tbody", "thead", "tfoot")), _TABLE)),
+    "option": (frozenset(("option",)), frozenset(("optgroup", "datalist"))),
+}
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 # Words in class or id names that mark site furniture.
 FURNITURE_NAME = re.compile(
@@ -56,6 +68,7 @@ def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, share of characters in links, whether in site furniture, in a heading, in an article) of each block."""
     out: list[tuple[str, float, bool, bool, bool]] = []
     stack: list[tuple[str, bool]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked = furniture = links = articles = 0
     heading = False
@@ -75,6 +88,32 @@ def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if links:
             linked += len(said.strip())
 
+    def pop() -> str:
+        nonlocal furniture, links, articles
+        top, marked = stack.pop()
+        opened[top] -= 1
+        furniture -= marked
+        links -= top == "a"
+        articles -= top in ARTICLE
+        return top
+
+    def imply(name: str) -> None:
+        """Close the open predecessor of an element whose end tag was left out."""
+        ends, scope = IMPLIED[name]
+        if not any(opened[x] for x in ends):
+            return
+        if scope is None:
+            if stack[-1][0] in ends:
+                pop()
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in ends:
+                while len(stack) > k:
+                    pop()
+                return
+            if stack[k][0] in scope:
+                return
+
     at = 0
     while found := _TOKEN.search(page, at):
         if found.start() > at:
@@ -102,24 +141,20 @@ def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if not closing:
             if found[0].endswith("/>"):
                 continue
-            if name == "p" and stack and stack[-1][0] == "p":
-                furniture -= stack.pop()[1]
+            if name in IMPLIED:
+                imply(name)
             attributes = found[2] or ""
             marked = name in FURNITURE or (name not in ("html", "body") and any((COMMENT_NAME if name in ARTICLE else FURNITURE_NAME).search(next(filter(None, x), "")) for x in _NAMES.findall(attributes))) or bool(attributes and _HIDDEN.search(attributes))
-            if name == "header" and any(n == "article" for n, _ in stack):
+            if name == "header" and opened["article"]:
                 marked = False
             stack.append((name, marked))
+            opened[name] += 1
             furniture += marked
             links += name == "a"
             articles += name in ARTICLE
-        elif any(n == name for n, _ in stack[-64:]):
-            while stack:
-                top, marked = stack.pop()
-                furniture -= marked
-                links -= top == "a"
-                articles -= top in ARTICLE
-                if top == name:
-                    break
+        elif opened[name]:
+            while pop() != name:
+                pass
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = not closing
     if at < len(page):

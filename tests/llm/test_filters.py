@@ -142,6 +142,25 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+OMITTED = [
+    "<nav><ul>" + "<li><a href=x>Go</a>" * 100 + "</ul></nav>",
+    "<aside><dl>" + "<dt>Word<dd>Meaning" * 50 + "</dl></aside>",
+    "<footer><table>" + "<tr><td>one<td>two" * 50 + "</table></footer>",
+    "<form><datalist>" + "<option>one" * 100 + "</datalist></form>",
+    "<nav>" + "<b>" * 100 + "</nav>",
+]
+
+
+@pytest.mark.parametrize("menu", OMITTED)
+def test_omitted_end_tags(menu):
+    assert html_text.main_text(f"{menu}<article><p>{PROSE}</p></article>") == PROSE
+
+
+def test_omitted_end_tags_close_their_predecessor():
+    marked = f"<ul><li class=promo>{PROSE}<li>{PROSE} Two.<ul><li>{PROSE} In.</ul></ul><table><tr class=ads><td>{PROSE}<tr><td>{PROSE} Three.</table>"
+    assert html_text.main_text(marked) == f"{PROSE} Two.\n\n{PROSE} In.\n\n{PROSE} Three."
+
+
 def test_op9_odd(spark):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>x</p>"), (2, "u", ""), (3, "u", "<p>" * 3000 + "y" + "<div>" * 3000 + "< a <b"), (4, "u", "<p " + "a='" * 2000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
