@@ -61,13 +61,30 @@ BAD_LINKS, SHORT, LOW_STOP, HIGH_STOP = 0.35, 70, 0.02, 0.10
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.DOTALL)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
+
+
+def hidden(attributes: str) -> bool:
+    """Whether an element is not shown: hidden as an attribute's own name, aria-hidden=true, or display:none as a style."""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), next(filter(None, values), "")
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NOT_SHOWN.search(value):
+            return True
+    return False
 
 
 def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """(text, share of characters in links, whether in site furniture, in a heading, in an article) of each block."""
+    """(text, share of characters in links, whether in site furniture, in a heading, in an article) of each block.
+
+    A class or id marks no element that holds the first article or main element
+    outside of furniture, or most of the page's text.
+    """
     out: list[tuple[str, float, bool, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
+    # Elements marked by class or id: the marked element around each, characters of text in it, whether it must not count; 0 is the page.
+    around, held, void, named, of_block = [0], [0], [True], 0, []
+    first_article = True
     opened: Counter[str] = Counter()
     text: list[str] = []
     linked = furniture = links = articles = 0
@@ -77,9 +94,11 @@ def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         nonlocal linked, heading
         clean = " ".join("".join(text).split())
         if clean:
+            of_block.append(named)
+            held[named] += 0 if furniture else len(clean)
             out.append((clean, min(1.0, linked / len(clean)), furniture > 0, heading, articles > 0))
         text.clear()
-        linked, heading = 0, any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, _ in stack[-3:])
+        linked, heading = 0, any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, *_ in stack[-3:])
 
     def say(raw: str) -> None:
         nonlocal linked
@@ -89,9 +108,11 @@ def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             linked += len(said.strip())
 
     def pop() -> str:
-        nonlocal furniture, links, articles
-        top, marked = stack.pop()
+        nonlocal furniture, links, articles, named
+        top, marked, by_name = stack.pop()
         opened[top] -= 1
+        if by_name:
+            named = around[named]
         furniture -= marked
         links -= top == "a"
         articles -= top in ARTICLE
@@ -144,10 +165,18 @@ def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             if name in IMPLIED:
                 imply(name)
             attributes = found[2] or ""
-            marked = name in FURNITURE or (name not in ("html", "body") and any((COMMENT_NAME if name in ARTICLE else FURNITURE_NAME).search(next(filter(None, x), "")) for x in _NAMES.findall(attributes))) or bool(attributes and _HIDDEN.search(attributes))
+            marked = name in FURNITURE or (name not in ("html", "body") and bool(attributes) and hidden(attributes))
+            by_name = not marked and name not in ("html", "body") and any((COMMENT_NAME if name in ARTICLE else FURNITURE_NAME).search(next(filter(None, x), "")) for x in _NAMES.findall(attributes))
             if name == "header" and opened["article"]:
-                marked = False
-            stack.append((name, marked))
+                marked = by_name = False
+            if name in ARTICLE and first_article and not (marked or by_name or furniture):
+                void[named], first_article = True, False
+            if by_name:
+                around.append(named)
+                held.append(0)
+                void.append(False)
+                named = len(around) - 1
+            stack.append((name, marked, by_name))
             opened[name] += 1
             furniture += marked
             links += name == "a"
@@ -160,7 +189,13 @@ def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     if at < len(page):
         say(page[at:])
     close()
-    return out
+    for k in range(len(around) - 1, 0, -1):
+        held[around[k]] += held[k]
+        void[around[k]] |= void[k]
+    inside = [False] * len(around)
+    for k in range(1, len(around)):
+        inside[k] = inside[around[k]] or not (void[k] or 2 * held[k] > held[0])
+    return [(t, share, out_of_place or inside[k], *rest) for (t, share, out_of_place, *rest), k in zip(out, of_block, strict=True)]
 
 
 def first_pass(text: str, link_share: float, furniture: bool, heading: bool, article: bool, has_article: bool) -> str:

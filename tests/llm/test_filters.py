@@ -156,6 +156,20 @@ def test_omitted_end_tags(menu):
     assert html_text.main_text(f"{menu}<article><p>{PROSE}</p></article>") == PROSE
 
 
+WRAPPERS = ["style='overflow:hidden'", "class=overflow-hidden", "aria-hidden='false'", "data-hidden=no", "class='layout has-sidebar'", "id=header-wrapper"]
+
+
+@pytest.mark.parametrize("attribute", WRAPPERS)
+@pytest.mark.parametrize("inner", [f"<article><p>{PROSE}</p></article>", f"<main><p>{PROSE}</p></main>", f"<p>{PROSE}</p>"])
+def test_wrappers_of_the_article_are_no_furniture(attribute, inner):
+    assert html_text.main_text(f"<body {attribute}><div {attribute}><div>{inner}</div><div class=sidebar><p>Menu</p></div></div></body>") == PROSE
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN=''", "aria-hidden=true", "style='color:red; display : none'"])
+def test_hidden_elements_are_dropped(attribute):
+    assert html_text.main_text(f"<div {attribute}><p>{PROSE} {PROSE}</p></div><p>{PROSE}</p>") == PROSE
+
+
 def test_omitted_end_tags_close_their_predecessor():
     marked = f"<ul><li class=promo>{PROSE}<li>{PROSE} Two.<ul><li>{PROSE} In.</ul></ul><table><tr class=ads><td>{PROSE}<tr><td>{PROSE} Three.</table>"
     assert html_text.main_text(marked) == f"{PROSE} Two.\n\n{PROSE} In.\n\n{PROSE} Three."
