@@ -3,10 +3,10 @@
 A state emits a bucket of words (a hash of the word; the text's end has its
 own), and a bucket emits its words by add-one counts, so the model is a proper
 distribution over words while what a state holds stays bounded:
-P(word | state) = P(bucket | state) * P(word | bucket). States start from
-Baum-Welch on a bounded sample; then every training document passes through
-Baum-Welch, each task's expected counts are added up across tasks, and give
-the final parameters. A text's probability is exact, by the scaled forward
+P(word | state) = P(bucket | state) * P(word | bucket). States start apart by
+a seed; then every training document passes whole through Baum-Welch, PASSES
+times, and each task's expected counts are added up across tasks and give the
+next parameters. A text's probability is exact, by the scaled forward
 recursion over its whole length.
 """
 
@@ -26,8 +26,8 @@ from .chunks import chunk_rows, numbered, unsqueeze, word_rows
 from .common import staged
 
 STATES, BUCKETS = 8, 1 << 15
-#: Documents, and tokens of each, in the sample that starts the states; passes over it; passes over all documents.
-SAMPLE_DOCS, SAMPLE_TOKENS, SAMPLE_PASSES, PASSES = 600, 400, 12, 1
+#: Baum-Welch passes over all training documents.
+PASSES = 13
 #: Weight of the overall bucket distribution in each state's.
 SMOOTH = 3000.0
 #: Bytes of text in a chunk, about; the forward pass needs memory beside it.
@@ -144,7 +144,7 @@ def maximise(total: np.ndarray, prior: np.ndarray) -> Model:
 
 
 def initial(docs: list[np.ndarray], prior: np.ndarray) -> Model:
-    """States that start apart at random, and Baum-Welch on the sample."""
+    """States that start apart by a seed, and PASSES of Baum-Welch on documents at hand, if any."""
     rng = np.random.default_rng(SEED)
     emit = prior[:, None] * rng.gamma(2.0, 0.5, (BUCKETS, STATES))
     move = np.full((STATES, STATES), 0.3 / (STATES - 1)) + np.eye(STATES) * (0.7 - 0.3 / (STATES - 1))
@@ -152,7 +152,7 @@ def initial(docs: list[np.ndarray], prior: np.ndarray) -> Model:
     if not docs:
         return model
     batch = Batch(docs)
-    for _ in range(SAMPLE_PASSES):
+    for _ in range(PASSES):
         total = np.zeros((BUCKETS + STATES + 1, STATES))
         batch.expect(model, total)
         model = maximise(total, prior)
@@ -166,12 +166,7 @@ def _documents(row: dict, buckets: np.ndarray) -> list[np.ndarray]:
 def train(chunks: DataFrame, prior: np.ndarray) -> Model:
     """chunks: chunk, doc_ids, lengths, places, tags (buckets of the chunk's words in order)."""
     spark = chunks.sparkSession
-    sample: list[np.ndarray] = []
-    picked = [r["chunk"] for r in chunks.select("chunk").orderBy(F.xxhash64("chunk"), "chunk").limit(4).collect()]
-    for row in chunks.filter(F.col("chunk").isin(picked)).orderBy("chunk").toLocalIterator() if picked else ():
-        docs = _documents(row, unsqueeze(row["tags"]))
-        sample += [d[:SAMPLE_TOKENS] for k, d in sorted(zip(row["doc_ids"], docs, strict=True), key=lambda x: (zlib.crc32(b"%d" % (x[0] or 0)), x[0] or 0)) if trains(k)][:SAMPLE_DOCS]
-    model = initial(sample[:SAMPLE_DOCS], prior)
+    model = initial([], prior)
     for _ in range(PASSES):
         shared = spark.sparkContext.broadcast(model)  # bounded: BUCKETS x STATES
 

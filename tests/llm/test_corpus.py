@@ -100,6 +100,20 @@ def test_training_never_lowers_likelihood():
     assert hmm.initial([], prior / prior.sum()).emit.shape == (hmm.BUCKETS, hmm.STATES)
 
 
+def test_training_takes_all_documents_whole(spark):
+    rng = np.random.default_rng(2)
+    topics = [[f"{t}{i}" for i in range(40)] for t in "abcd"]
+    # Sources in order; long documents change their topic after 400 words.
+    rows = [(k, " ".join([*rng.choice(topics[k // 25], 420), *rng.choice(topics[-1 - k // 25], 300)])) for k in range(100)]
+    rows_df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id")
+    chunks = hmm.chunk_rows(hmm.staged(hmm.numbered(rows_df, hmm.words_of, hmm.trains, hmm.bucket_of, 30_000), "test-chunks"))
+    docs = [np.array([hmm.bucket_of(w) for w in hmm.words_of(t.encode())]) for k, t in rows if hmm.trains(k)]
+    prior = np.bincount(np.concatenate(docs), minlength=hmm.BUCKETS) + 1.0
+    got, want = hmm.train(chunks, prior / prior.sum()), hmm.initial(docs, prior / prior.sum())
+    assert chunks.count() > 4
+    assert all(np.allclose(x, y, rtol=1e-6) for x, y in ((got.start, want.start), (got.move, want.move), (got.emit, want.emit)))
+
+
 # --- near duplicates -----------------------------------------------------------------------------
 
 
