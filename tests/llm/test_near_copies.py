@@ -1,4 +1,4 @@
-"""The pipeline's near copies against brute force."""
+"""The pipeline's near copies against brute force, and its rows with repeated or null keys."""
 
 import random
 
@@ -63,3 +63,10 @@ def test_large_group_and_links_beyond_its_smallest(spark):
         texts.append(" ".join(base))
     df = spark.createDataFrame(list(enumerate(texts)), FIELDS)
     assert {r.doc_id for r in near_copies.drop_near_copies(df).collect()} == brute(texts) == {0}
+
+
+def test_rows_with_repeated_or_null_keys(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text), (2, "another text that is like no other one here"), (None, text + " end"), (None, "a text of its own without any key at all"), (3, None), (4, ""), (3, None)]
+    got = near_copies.drop_near_copies(spark.createDataFrame(rows, FIELDS)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
