@@ -512,8 +512,12 @@ def path_basename(spark, sf_dir):
 
 @query()
 def toa5_roundtrip(spark, sf_dir):
-    """Orders written as logger files (one for each status) in the warehouse, and read back typed."""
-    from ..sources.toa5 import read_toa5, write_rows
+    """Orders as the contents of logger files (64 or less for each status), parsed and typed.
+
+    The contents are strings in a DataFrame: no file is written, and neither the
+    toa5 source nor read_toa5 is run.
+    """
+    from ..sources.toa5 import write_rows
     from .catalog import load_logger
 
     columns = [{"name": "TIMESTAMP", "unit": "TS", "type": "TimestampNoTz"}, {"name": "RECORD", "unit": "RN", "type": "NonNegInt"}, {"name": "Price", "unit": "Volts", "prc": "Avg", "type": "Num(12,2)"}]
