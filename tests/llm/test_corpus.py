@@ -256,7 +256,7 @@ def test_guarded_matches_lie_where_they_match(spark):
     key = "token = '04dbebab91ab85687d33'"
     texts = ["Fax +1-555-123-4567, tel 555-123-4567.", f"é😀 my{key}, {key} and {key}", "none", "555-123-4567"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind in (3, 4) and not s.base] for r in pii.spans_with_votes(df).collect()}
+    found = {r.row.doc_id: [(s.start, s.end) for s in r.found if s.kind in (3, 4) and not s.base] for r in pii.spans_with_votes(df).collect()}
     secrets = [(m.start(), m.end()) for m in re.finditer("(?<!my)" + key, texts[1])]
     assert len(secrets) == 2 and found == {0: [(25, 37)], 1: secrets, 2: [], 3: [(0, 12)]}
 
@@ -273,7 +273,7 @@ def test_masking(spark):
 
 def test_reliabilities():
     votes = [(1, 1, 1, 50), (-1, -1, -1, 50), (1, 1, 0, 20), (-1, -1, 1, 20), (1, -1, 0, 3)]
-    rows = [{"kind": 2, "strict": a, "listed": b, "context": c, "n": n, "left": 0, "right": 0, "size": 4, "code": i} for i, (a, b, c, n) in enumerate(votes)]
+    rows = [{"kind": 2, "strict": a, "listed": b, "context": c, "n": n, "left": 0, "right": 0, "size": 4, "cue": 0, "shape": 0, "code": i} for i, (a, b, c, n) in enumerate(votes)]
     posterior, rates = pii.reliabilities(rows)
     assert posterior[2, 1, 1, 1] > 0.95 and posterior[2, -1, -1, -1] < 0.05
     assert rates[2, 0, 1][1] > rates[2, 2, 1][1]
