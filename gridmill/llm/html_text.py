@@ -1,13 +1,14 @@
 """Main text of web pages by two passes over blocks.
 
-A page is cut into blocks at block-level tags. The first pass classifies each
-block by its place (menus, headers, footers, sidebars, forms, comments and
-notices by element, class or id; text outside the article of a page that has
-one), link density, stop-word density and length: good, bad, or undecided for
-short blocks. In the second pass an undecided block inherits the label of its
-nearest decided neighbours: their label if they agree, the nearer one's where
-they differ, good if they are equally near. Blocks that are bad by their place
-alone say nothing about their neighbours and are passed over.
+A page is cut into blocks at block-level tags. Menus, headers, footers,
+sidebars, forms, comments and notices, known by element, class or id, are out.
+The first pass classifies every other block by link density, stop-word density
+and length, with a vote for text inside the page's article and one against text
+outside of it: good, bad, or undecided for short blocks and for those whose
+votes cancel out. In the second pass an undecided block inherits the label of
+its nearest decided neighbours: their label if they agree, the nearer one's
+where they differ, good if they are equally near or none is decided. Blocks
+that are out say nothing about their neighbours and are passed over.
 """
 
 from __future__ import annotations
@@ -56,10 +57,13 @@ STOP_WORDS = frozenset(
     " le la les de des et en un une du que qui est dans pour par sur au aux avec pas ce il elle ne se son plus"
     " el los las y o que en del se con por para una su al lo como más pero sus es no".split()
 )
-#: First pass: link density above BAD_LINKS is bad; SHORT characters or less is undecided; stop words below LOW_STOP are bad if links are many.
-BAD_LINKS, SHORT, LOW_STOP, HIGH_STOP = 0.35, 70, 0.02, 0.10
+#: Link density above BAD_LINKS is bad, above SOME_LINKS a vote against; SHORT characters or less are undecided, LONG or more a vote for;
+#: a stop-word density of HIGH_STOP or more is a vote for, in a long block one below LOW_STOP two against, on pages that reach LOW_STOP as a whole.
+BAD_LINKS, SOME_LINKS, SHORT, LONG, LOW_STOP, HIGH_STOP = 0.35, 0.2, 70, 200, 0.02, 0.10
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.DOTALL)
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+#: A tag whose quotes don't close ends at the first bracket.
+_LOOSE_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
@@ -88,7 +92,8 @@ def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     opened: Counter[str] = Counter()
     text: list[str] = []
     linked = furniture = links = articles = 0
-    heading = False
+    heading = no_head_end = False
+    last = page.rfind(">")
 
     def close() -> None:
         nonlocal linked, heading
@@ -102,6 +107,8 @@ def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
 
     def say(raw: str) -> None:
         nonlocal linked
+        if not raw:
+            return
         said = html.unescape(raw) if "&" in raw else raw
         text.append(said)
         if links:
@@ -135,23 +142,40 @@ def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             if stack[k][0] in scope:
                 return
 
-    at = 0
-    while found := _TOKEN.search(page, at):
-        if found.start() > at:
-            say(page[at : found.start()])
-        at = found.end()
-        name = found[1]
-        if not name:
-            if found[0].startswith("<![CDATA["):
-                say(found[0][9:].removesuffix("]]>"))
+    at = start = 0
+    while (start := page.find("<", start)) >= 0:
+        # Markup that is not text: comments, sections, declarations. What does not close goes on to the end.
+        if page.startswith("<!--", start):
+            say(page[at:start])
+            at = start = page.find("-->", start + 4) + 3 if page.find("-->", start + 4) >= 0 else len(page)
+            continue
+        if page.startswith("<![CDATA[", start):
+            say(page[at:start])
+            end = page.find("]]>", start)
+            say(page[start + 9 : end if end >= 0 else len(page)])
+            at = start = end + 3 if end >= 0 else len(page)
+            continue
+        # No tag can start behind the last bracket, so what is left is looked at once.
+        if start > last:
+            break
+        if page[start + 1] in "!?":
+            say(page[at:start])
+            at = start = page.find(">", start) + 1
+            continue
+        found = _TAG.match(page, start) or _LOOSE_TAG.match(page, start)
+        if not found:
+            start += 1
             continue
-        name, closing = name.lower(), found[0][1] == "/"
+        say(page[at:start])
+        at = start = found.end()
+        name, closing = found[1].lower(), found[0][1] == "/"
         if name in SILENT and not closing and not found[0].endswith("/>"):
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+            end = None if name == "head" and no_head_end else re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             # Without its end tag, head ends where body starts; another element ends with the page.
             if not end and name == "head":
+                no_head_end = True
                 continue
-            at = end.end() if end else len(page)
+            at = start = end.end() if end else len(page)
             if name in ("title", "head"):
                 close()
             continue
@@ -198,26 +222,36 @@ def page_blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     return [(t, share, out_of_place or inside[k], *rest) for (t, share, out_of_place, *rest), k in zip(out, of_block, strict=True)]
 
 
-def first_pass(text: str, link_share: float, furniture: bool, heading: bool, article: bool, has_article: bool) -> str:
-    """good, bad, out (bad by its place alone), or near (undecided)."""
-    if furniture or (has_article and not article and not heading):
+def stop_share(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(text: str, link_share: float, furniture: bool, heading: bool, article: bool, has_article: bool, stop: float | None) -> str:
+    """good, bad, out (by its place alone), or near (undecided). stop: the block's stop-word density; None where the page's language has no list."""
+    if furniture:
         return "out"
     if link_share > BAD_LINKS:
         return "bad"
+    outside = has_article and not article
     if heading or len(text) <= SHORT:
-        return "near"
-    words = text.lower().split()
-    stop = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
-    if stop >= HIGH_STOP or link_share == 0:
-        return "good"
-    return "bad" if stop < LOW_STOP else "near"
+        return "out" if outside and not heading else "near"
+    votes = (len(text) >= LONG) - (link_share > SOME_LINKS) + article - 2 * outside
+    if stop is not None:
+        votes += (stop >= HIGH_STOP) - 2 * (stop < LOW_STOP and len(text) >= LONG)
+    if votes < 0:
+        return "out" if outside and votes + 2 >= 0 else "bad"
+    return "good" if votes else "near"
 
 
 def main_text(page: str) -> str:
     """The article's blocks, joined by an empty line; empty if there are none."""
     found = page_blocks(page)
-    has_article = any(b[4] and not b[2] for b in found)
-    labels = [first_pass(*b, has_article) for b in found]
+    has_article = any(b[4] and not b[2] and b[1] <= BAD_LINKS for b in found)
+    stops = [0.0 if b[2] else stop_share(b[0]) for b in found]
+    own = [len(b[0]) * (not b[2]) for b in found]
+    known = sum(x * n for x, n in zip(stops, own, strict=True)) >= LOW_STOP * sum(own)
+    labels = [first_pass(*b, has_article, x if known else None) for b, x in zip(found, stops, strict=True)]
     after: list[tuple[str, int] | None] = [None] * len(labels)
     nearest = None
     for i in range(len(labels) - 1, -1, -1):

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -156,6 +157,42 @@ def test_omitted_end_tags(menu):
     assert html_text.main_text(f"{menu}<article><p>{PROSE}</p></article>") == PROSE
 
 
+LIST = "Kettle 12, Spanner 40, Wire 3, Lamp 77, Drill 9, Rope 51, Nail 20, Tape 6, " * 4
+
+
+def test_both_passes_and_stop_words_decide_without_an_article_element(monkeypatch):
+    """Long text without function words is bad; short blocks inherit from their nearest decided neighbours."""
+    page = f"<div><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p><p>{LIST}</p><p>In stock</p><p>{LIST}</p></div>"
+    assert html_text.main_text(page) == f"{PROSE}\n\nShort one.\n\n{PROSE}"
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "STOP_WORDS", frozenset())
+        assert "Kettle" in html_text.main_text(page)
+    with monkeypatch.context() as m:
+        first = html_text.first_pass
+        m.setattr(html_text, "first_pass", lambda *x: "bad" if first(*x) == "near" else first(*x))
+        assert html_text.main_text(page) == f"{PROSE}\n\n{PROSE}"
+
+
+def test_main_text_outside_of_an_article_element():
+    """The article is a vote, no gate: long prose of a page whose article element holds a teaser stays."""
+    body = " ".join([PROSE] * 3)
+    page = f"<article><a href=x>A teaser of another page that is linked from here and not of interest</a></article><p>{body}</p><p>{body}</p>"
+    assert html_text.main_text(page) == f"{body}\n\n{body}"
+
+
+def test_op9_does_not_need_the_article_element(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    same = [html_text.main_text(p.replace("<article>", "<div>").replace("</article>", "</div>")) == article(p) for p in pages]
+    assert sum(same) >= 0.95 * len(same)
+
+
+@pytest.mark.parametrize("text", ["if a<b " * 150_000, "<" * 1_000_000, "<p <p " * 150_000 + '">', "<p a='" * 150_000 + "x>", "<head>" * 150_000, "<!--" * 200_000, "<p" * 300_000 + ">"], ids=range(7))
+def test_markup_of_a_megabyte_ends(text):
+    began = time.perf_counter()
+    html_text.main_text(text)
+    assert time.perf_counter() - began < 20
+
+
 WRAPPERS = ["style='overflow:hidden'", "class=overflow-hidden", "aria-hidden='false'", "data-hidden=no", "class='layout has-sidebar'", "id=header-wrapper"]
 
 
