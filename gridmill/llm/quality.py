@@ -36,6 +36,18 @@ BOILERPLATE = re.compile(
 )
 #: Longest line, in words, that a boilerplate phrase condemns.
 BOILERPLATE_WORDS = 30
+# Words of menus, which need no separators, in the languages that occur.
+MENU = frozenset(
+    "home about contact login logout register help sitemap search menu faq careers blog news products services support account cart checkout shop privacy terms imprint"
+    " us our sign in up log out my next previous back top more"
+    " startseite kontakt impressum datenschutz anmelden registrieren hilfe suche warenkorb konto agb"
+    " accueil connexion inscription aide recherche panier compte mentions légales"
+    " inicio contacto acceder registrarse ayuda buscar carrito cuenta aviso legal".split()
+)
+#: Longest line, in words, that is a menu if all its words are menu words, half of them by themselves.
+MENU_WORDS = 12
+# Words that are menu words only beside others.
+MENU_LINKS = frozenset("us our sign in up log out my next previous back top more legal mentions".split())
 
 
 def line_rule(line: bytes) -> str | None:
@@ -46,6 +58,8 @@ def line_rule(line: bytes) -> str | None:
     n, solid = len(words), b"".join(words)
     if n >= 3 and sum(line.count(s) for s in SEPARATORS) >= max(2, n / 4):
         return "navigation"
+    if 2 <= n <= MENU_WORDS and (low := line.decode().lower().split()) and MENU.issuperset(low) and 2 * sum(w not in MENU_LINKS for w in low) >= n:
+        return "navigation"
     if n <= BOILERPLATE_WORDS and BOILERPLATE.search(line):
         return "boilerplate"
     marks = len(solid) - len(solid.translate(None, SYMBOLS))
@@ -76,9 +90,11 @@ def repeated_words(ids: np.ndarray) -> int:
     n = len(ids) - WINDOW + 1
     if n < 2:
         return 0
-    keys = ids[:n].astype(np.int64)
+    keys, base = ids[:n].astype(np.int64), int(ids.max()) + 1
     for k in range(1, WINDOW):
-        keys = keys * (int(ids.max()) + 1) + ids[k : k + n]
+        if k > 1 and base**3 >= 1 << 63:  # numbered anew, so that codes stay exact in texts of millions of distinct words
+            keys = np.unique(keys, return_inverse=True)[1]
+        keys = keys * base + ids[k : k + n]
     _, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
     covered = np.zeros(len(ids), bool)
     twice = counts[place] > 1
@@ -133,7 +149,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The kept documents with all their columns; text without failing lines, n_chars to match if there is one."""
+    """The kept documents with all their columns; text without failing lines, n_chars to match if there is one.
+
+    Null and empty texts fail the base rules and go. Rows are judged one by one,
+    so repeated rows and null keys are treated like any other; columns of any
+    other name are passed on; an empty table gives no rows.
+    """
     names = docs.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

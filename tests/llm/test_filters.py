@@ -63,6 +63,46 @@ def test_marks_are_whole_characters(last, rule):
     assert quality.line_rule(f"der Weg in den Ort und dann die {last}".encode()) == rule
 
 
+@pytest.mark.parametrize(("line", "rule"), [("Home About Contact Login Register Help", "navigation"), ("About us", "navigation"), ("Startseite Kontakt Impressum", "navigation"), ("Accueil Aide Mentions légales", "navigation"), ("Inicio Ayuda Contacto", "navigation"), ("In my home", None), ("up top", None), ("Home", None), ("News about the home", None)])
+def test_menus_without_separators(line, rule):
+    assert quality.line_rule(line.encode()) == rule
+
+
+def slow_rule(line):
+    """A plain reading of the line rules, over characters."""
+    words = WORD.findall(line)
+    solid, low = "".join(words), [w.lower() for w in words]
+    if len(words) >= 3 and sum(line.count(x) for x in ("|", "»", "›", "•", "·", " > ")) >= max(2, len(words) / 4):
+        return True
+    if 2 <= len(words) <= 12 and all(w in quality.MENU for w in low) and 2 * sum(w not in quality.MENU_LINKS for w in low) >= len(words):
+        return True
+    if 1 <= len(words) <= 30 and quality.BOILERPLATE.search(line.encode()):
+        return True
+    # Shares are of bytes.
+    if words and sum(c in "#*$%&|<>" for c in solid) > 0.15 * len(solid.encode()):
+        return True
+    return len(words) >= 5 and line.count("!!") > len(words) / 4 or len(words) >= 8 and not any(c in ".!?,;:…。！？،؟" for c in line)
+
+
+def slow_kept(text):
+    lines = (text or "").split("\n")
+    size = lambda x: sum(len(w.encode()) for w in WORD.findall(x))
+    return not base(text)[5] and 2 * sum(size(x) for x in lines if slow_rule(x)) <= sum(map(size, lines))
+
+
+def test_kept_by_brute_force(spark, odd):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.kept for r in QUERIES["op4_quality_rules"](spark, SF).collect()} == {k: slow_kept(t) for k, t in docs.items()}
+    assert sorted((str(r.doc_id), r.kept) for r in quality.quality_rules(odd).collect()) == sorted((str(k), slow_kept(t)) for k, t in TEXTS)
+
+
+def test_repeated_words_of_millions_of_distinct_words():
+    n = 1 << 22
+    ids = np.arange(n)
+    ids[-3:] = ids[:3]
+    assert quality.repeated_words(ids) == 6
+
+
 def test_repeated_words_by_brute_force():
     r = random.Random(4)
     for _ in range(50):
