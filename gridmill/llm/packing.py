@@ -4,10 +4,9 @@ Each document's ids (with an end id) are dealt to buckets of bounded size by a
 hash of its key and place. In a bucket, the number of sequences is the least
 that holds all tokens. Documents go by descending cost (linear plus quadratic
 in their length) to the sequence of lowest cost that still has room for the
-whole document, as far as a few of the cheapest are looked at; where none has,
-the document is cut, and its pieces fill the cheapest sequences with any room.
-So all sequences but one of a bucket's total are full at the end: padding in a
-bucket is under one sequence.
+whole document; where none has, the document is cut, and a piece fills the
+cheapest sequence with any room. So all sequences but one of a bucket's total
+are full at the end: padding in a bucket is under one sequence.
 """
 
 from __future__ import annotations
@@ -30,8 +29,6 @@ from .common import as_bytes, blocks, text_bytes
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Bytes of text dealt to one bucket, about.
 BUCKET_BYTES = 6_000_000
-#: Cheapest sequences looked at for one that takes a document whole.
-LOOK = 16
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 600_000
 END_ID = 1
@@ -86,6 +83,46 @@ def encode_words(data: bytes, path: str) -> bytes:
     return b"".join(map(table.__getitem__, data.split()))
 
 
+class Cheapest:
+    """Sequences by room: the one of lowest cost (then lowest number) among those with at least some room."""
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.size)]
+        self.tree: list[tuple[float, int] | None] = [None] * (2 * self.size)
+
+    def _lift(self, room: int) -> None:
+        """The least of each node above a room, after its heap has changed."""
+        at = self.size + room
+        self.tree[at] = self.heaps[room][0] if self.heaps[room] else None
+        while at > 1:
+            at //= 2
+            a, b = self.tree[2 * at], self.tree[2 * at + 1]
+            self.tree[at] = b if a is None else a if b is None or a < b else b
+
+    def add(self, room: int, cost: float, sequence: int) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (cost, sequence))
+            self._lift(room)
+
+    def take(self, least: int) -> tuple[float, int, int] | None:
+        """Remove and return (cost, sequence, room) of the cheapest with that room or more."""
+        best, lo, hi = None, self.size + least, 2 * self.size
+        while lo < hi:
+            for at in ([lo] if lo & 1 else []) + ([hi - 1] if hi & 1 else []):
+                if self.tree[at] is not None and (best is None or self.tree[at] < self.tree[best]):
+                    best = at
+            lo, hi = (lo + 1) // 2, hi // 2
+        if best is None:
+            return None
+        while best < self.size:
+            best = 2 * best if self.tree[2 * best] == self.tree[best] else 2 * best + 1
+        room = best - self.size
+        cost, sequence = heapq.heappop(self.heaps[room])
+        self._lift(room)
+        return cost, sequence, room
+
+
 def pack_lengths(lengths: list[int], capacity: int = 2048) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece, for documents of given lengths."""
     out, sequences = [], 0
@@ -97,38 +134,15 @@ def pack_lengths(lengths: list[int], capacity: int = 2048) -> list[tuple[int, in
             sequences += 1
         if n % capacity:
             rest.append((n % capacity, d, whole * capacity))
-    total = sum(r[0] for r in rest)
-    first, count = sequences, -(-total // capacity)
-    room = [capacity] * count
-    heap = [(0.0, i) for i in range(count)]
-    cost = lambda n: LINEAR * n + QUADRATIC * n * n
-
-    def place(d: int, start: int, n: int, at: float, i: int) -> None:
-        out.append((d, start, n, first + i, capacity - room[i]))
-        room[i] -= n
-        if room[i]:
-            heapq.heappush(heap, (at + cost(n), i))
-
+    open_ones = Cheapest(capacity)
+    for i in range(-(-sum(r[0] for r in rest) // capacity)):
+        open_ones.add(capacity, 0.0, sequences + i)
     for n, d, start in sorted(rest, key=lambda r: (-r[0], r[1])):
-        seen = []
-        while heap and len(seen) < LOOK:
-            at, i = heapq.heappop(heap)
-            if room[i] >= n:
-                place(d, start, n, at, i)
-                n = 0
-                break
-            seen.append((at, i))
-        for at, i in seen:
-            if n:
-                m = min(n, room[i])
-                place(d, start, m, at, i)
-                start, n = start + m, n - m
-            else:
-                heapq.heappush(heap, (at, i))
         while n:
-            at, i = heapq.heappop(heap)
-            m = min(n, room[i])
-            place(d, start, m, at, i)
+            cost, sequence, room = open_ones.take(n) or open_ones.take(1)
+            m = min(n, room)
+            out.append((d, start, m, sequence, capacity - room))
+            open_ones.add(room - m, cost + LINEAR * m + QUADRATIC * m * m, sequence)
             start, n = start + m, n - m
     return out
 
@@ -138,7 +152,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Dat
 
     Null text is empty: the end id alone. Documents with a null key are packed
     too and keep their null key. Repeated rows are packed as often as they
-    occur. Other columns are not read. An empty table gives no rows.
+    occur; rows of one key go by their ids, so a rerun lays them out alike.
+    Other columns are not read. An empty table gives no rows.
     """
     buckets = max(1, text_bytes(docs) // BUCKET_BYTES)
 
@@ -153,7 +168,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), keys, pa.array(ids, pa.binary())], names=["bucket", "doc_id", "ids"])
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id", kind="stable")
+        rows = rows.sort_values(["doc_id", "ids"], kind="stable")
         keys = rows["doc_id"].tolist()
         ids = [np.frombuffer(x, "<u2").astype("<u4") for x in rows["ids"]]
         made = pack_lengths([len(x) for x in ids], capacity)

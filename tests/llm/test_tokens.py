@@ -150,6 +150,42 @@ def test_pack_lengths(seed):
     assert all(n <= 2048 for n in per_seq.values()) and len(per_seq) * 2048 - sum(lengths) < 2048
 
 
+def slow_packing(lengths, capacity):
+    """Every piece by a look at all sequences: the cheapest with room for the whole rest, or else with any room."""
+    out, rest, first = [], [], 0
+    for d, n in enumerate(lengths):
+        for k in range(n // capacity):
+            out.append((d, k * capacity, capacity, first, 0))
+            first += 1
+        if n % capacity:
+            rest.append((n % capacity, d, n // capacity * capacity))
+    count = -(-sum(r[0] for r in rest) // capacity)
+    room, cost = [capacity] * count, [0.0] * count
+    for n, d, start in sorted(rest, key=lambda r: (-r[0], r[1])):
+        while n:
+            fit = [i for i in range(count) if room[i] >= n] or [i for i in range(count) if room[i]]
+            i = min(fit, key=lambda i: (cost[i], i))
+            m = min(n, room[i])
+            out.append((d, start, m, first + i, capacity - room[i]))
+            room[i], cost[i] = room[i] - m, cost[i] + packing.LINEAR * m + packing.QUADRATIC * m * m
+            start, n = start + m, n - m
+    return out
+
+
+@pytest.mark.parametrize("capacity", [7, 64, 100, 2048])
+def test_cheapest_sequence_by_brute_force(capacity):
+    r = random.Random(capacity)
+    for _ in range(10):
+        lengths = [r.choice([r.randint(0, capacity * 3), r.randint(1, capacity // 3 + 1)]) for _ in range(r.randint(0, 120))]
+        assert packing.pack_lengths(lengths, capacity) == slow_packing(lengths, capacity)
+
+
+def test_packing_does_not_follow_the_order_of_repeated_keys(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(n))) for n in (900, 40, 700, 500, 3, 1200)] + [(1, "x")] * 3
+    pieces = lambda r: sorted((p.start, p.length, p.ids_crc32, p.sequence_id, p.offset) for p in packing.pack_documents(spark.createDataFrame(r, "doc_id long, text string").coalesce(1), WORD).collect())
+    assert pieces(rows) == pieces(rows[::-1])
+
+
 def test_costs_are_balanced():
     made = packing.pack_lengths([100 + i % 400 for i in range(2000)])
     cost = defaultdict(float)
