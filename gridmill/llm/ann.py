@@ -1,13 +1,14 @@
 """Nearest vectors by largest inner product: inverted file with product-quantised residuals.
 
-Coarse centroids and the sub-space code books are fitted on a bounded sample
-(the vectors with the lowest hash of their id); every vector is indexed: its
-cell is the nearest centroid, its code the nearest code-book entries of its
-residual. A query probes the cells whose centroids have the largest inner
-product with it, ranks a cell's vectors by asymmetric distance tables, and
-reranks the best by the exact inner product of the original vectors in double
-precision. Large cells are split, and so are the queries of a cell, so a task
-holds a bounded number of both.
+Coarse centroids, as many as twice the root of the number of vectors, and the
+sub-space code books are fitted on a bounded sample (the vectors with the
+lowest hash of their id); every vector is indexed: its cell is the nearest
+centroid, its code the nearest code-book entries of its residual. A query
+probes the cells whose centroids have the largest inner product with it, ranks
+their vectors by asymmetric distance tables, and reranks the best by the exact
+inner product of the original vectors in double precision. Neighbouring cells
+share a group, large cells are split over several, and so are the queries, so a
+task holds a bounded number of both and a query goes once to a group.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from pyspark.sql.window import Window
 
 from .common import staged
 
-#: Vectors of the sample; cells at most; sub-spaces' size; entries of a code book; passes of k-means.
-SAMPLE, CELLS, SUB, CODES, PASSES = 20_000, 64, 4, 64, 8
-#: Share of the cells that a query probes, and how many at least.
-PROBED, LEAST_PROBED = 0.9, 8
-#: Best by table that are reranked, in each part of a cell.
+#: Cells at most; vectors of the sample at least, and for each cell; sub-spaces' size; entries of a code book; passes of k-means.
+CELLS, SAMPLE, CELL_SAMPLE, SUB, CODES, PASSES = 4096, 20_000, 32, 4, 64, 8
+#: As many cells are probed as hold this share of the nearest vectors of the sample's first so many vectors, within the sample.
+HELD, TRIED, NEAREST, LEAST_PROBED = 0.96, 256, 20, 8
+#: Best by table that are reranked, in each group.
 RERANKED = 100
-#: Vectors and queries that meet in one task.
-CELL_ROWS, QUERY_ROWS = 8192, 2048
+#: Vectors of a group and queries that meet in one task.
+GROUP_ROWS, QUERY_ROWS = 4096, 16_384
 SEED = 11
 
 
@@ -63,6 +64,7 @@ class Index:
     centers: np.ndarray
     books: list[np.ndarray]
     dim: int
+    probes: int = LEAST_PROBED
 
     def pad(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, -self.dim % SUB)))
@@ -75,25 +77,56 @@ class Index:
         return cell, np.stack(codes, axis=1).astype(np.uint8)
 
     def probe(self, queries: np.ndarray) -> np.ndarray:
-        n = min(len(self.centers), max(LEAST_PROBED, round(PROBED * len(self.centers))))
-        return np.argsort(-(queries @ self.centers.T), axis=1, kind="stable")[:, :n]
-
-    def by_table(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate inner products, queries x vectors of the cell."""
-        parts = self.pad(queries)
-        out = np.repeat((queries @ self.centers[cell])[:, None], len(codes), axis=1)
+        return np.argsort(-(queries @ self.centers.T), axis=1, kind="stable")[:, : self.probes]
+
+    def calibrate(self, x: np.ndarray) -> None:
+        """Probe as many cells as hold the share HELD of nearest vectors. A denser table has nearer ones, so the sample asks for more, not less."""
+        self.probes = len(self.centers)
+        tried = x[:TRIED]
+        score = tried @ x.T
+        score[np.arange(len(tried)), np.arange(len(tried))] = -np.inf
+        near = np.argsort(-score, axis=1, kind="stable")[:, : min(NEAREST, len(x) - 1)]
+        order = self.probe(tried)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None], axis=1)
+        own = np.take_along_axis(place, _nearest(x, self.centers)[near], axis=1)
+        self.probes = max(min(LEAST_PROBED, len(self.centers)), int(np.quantile(own, HELD, method="higher")) + 1 if own.size else 1)
+
+    def by_table(self, queries: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Approximate inner products, queries x vectors; -inf where the query does not probe the vector's cell."""
+        parts, own = self.pad(queries), queries @ self.centers.T
+        probed = np.full_like(own, -np.inf)
+        np.put_along_axis(probed, at := self.probe(queries), np.take_along_axis(own, at, axis=1), axis=1)
+        out = np.take(probed, cells, axis=1)
         for j, book in enumerate(self.books):
-            out += (parts[:, j * SUB : (j + 1) * SUB] @ book.T)[:, codes[:, j]]
+            out += np.take(parts[:, j * SUB : (j + 1) * SUB] @ book.T, codes[:, j], axis=1)
         return out
 
 
+def cells_of(total: int) -> int:
+    return int(np.clip(round(2 * total**0.5), 1, CELLS))
+
+
+def grouped(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(cell, first group, groups) of each cell: small cells share one group, a large one is dealt to several."""
+    out, group, held = [], 0, 0
+    for cell, n in sorted(counts.items()):
+        if held and held + n > GROUP_ROWS:
+            group, held = group + 1, 0
+        parts = -(-n // GROUP_ROWS)
+        out.append((cell, group, parts))
+        group, held = (group + parts, 0) if parts > 1 else (group, held + n)
+    return out
+
+
 def fit(x: np.ndarray, total: int) -> Index:
     rng = np.random.default_rng(SEED)
     dim = x.shape[1]
-    centers = kmeans(x, int(np.clip(round(total**0.5), 1, CELLS)), rng)
+    centers = kmeans(x, cells_of(total), rng)
     index = Index(centers, [], dim)
     rest = index.pad(x - centers[_nearest(x, centers)])
     index.books = [kmeans(rest[:, j : j + SUB], CODES, rng) for j in range(0, rest.shape[1], SUB)]
+    index.calibrate(x)
     return index
 
 
@@ -112,77 +145,80 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     Queries are the rows whose vec_id is divisible by `every`. Vectors that are
     null, zero, or hold a null or non-finite component take no part, nor do
     null ids and vectors whose size is not the most common one. Rows that share
-    a query's id are its own. Extra columns are not read; an empty table gives
-    no rows.
+    a query's id are its own; where they differ, the least of them asks. Extra
+    columns are not read; an empty table gives no rows.
     """
     spark = vectors.sparkSession
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"  # as given, so nothing is lost
     sound = usable(vectors)
     sizes = sound.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = sizes[0]["d"], sizes[0]["count"]
     sound = sound.filter(F.size("embedding") == dim)
-    sample = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()  # SAMPLE rows at most
+    most = max(SAMPLE, CELL_SAMPLE * cells_of(total))  # bounded by CELLS
+    sample = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toPandas()
     index = fit(np.array(sample["embedding"].tolist(), np.float64), total)
     shared = spark.sparkContext.broadcast(index)  # bounded by CELLS and CODES
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
+    def raw(x: np.ndarray) -> pa.Array:
+        return pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("embedding"))
             cell, codes = shared.value.encode(x) if len(x) else (np.zeros(0, np.int64), np.zeros((0, 1), np.uint8))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell), batch.column("vec_id").cast(pa.int64()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())],
-                names=["cell", "vec_id", "code", "vector"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column("vec_id").cast(pa.int64()), pa.array([r.tobytes() for r in codes], pa.binary()), raw(x)], names=["cell", "vec_id", "code", "vector"])
+
+    indexed = staged(sound.mapInArrow(encode, "cell long, vec_id long, code binary, vector binary"), "ann-index")
+    counts = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # CELLS rows at most
+    homes = grouped(counts)
+    groups_of = {cell: range(first, first + parts) for cell, first, parts in homes}
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x = batch.column("vec_id").to_pylist(), matrix(batch.column("embedding"))
+            ids, x = np.asarray(batch.column("vec_id").to_pylist(), np.int64), matrix(batch.column("embedding"))
             for at in range(0, len(ids), 256):
                 cells = shared.value.probe(x[at : at + 256])
-                raw = [r.tobytes() for r in x[at : at + 256]]
-                n = cells.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel()), pa.array(np.repeat(np.array(ids[at : at + 256], np.int64), n)), pa.array([r for r in raw for _ in range(n)], pa.binary())],
-                    names=["cell", "query_id", "query"],
-                )
-
-    indexed = staged(sound.mapInArrow(encode, "cell long, vec_id long, code binary, vector binary"), "ann-index")
-    queries = sound.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).repartition("vec_id")
-    probes = staged(queries.mapInArrow(probe, "cell long, query_id long, query binary"), "ann-probes")
-    # A row for each cell, CELLS at most: into how many parts its vectors and its queries are split.
-    parts = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("v_parts"))
-    parts = parts.join(probes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("q_parts")), "cell")
-    parts = F.broadcast(spark.createDataFrame(parts.collect(), "cell long, v_parts int, q_parts int"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
-    v_side = indexed.join(parts, "cell").withColumn("v", F.pmod(F.xxhash64("vec_id"), "v_parts")).withColumn("q", upto("q_parts"))
-    q_side = probes.join(parts, "cell").withColumn("q", F.pmod(F.xxhash64("query_id"), "q_parts")).withColumn("v", upto("v_parts"))
-
-    def meet(key: tuple, here: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+                homes = [sorted({g for c in row for g in groups_of.get(c, ())}) for row in cells.tolist()]
+                place = np.repeat(np.arange(at, at + len(homes)), list(map(len, homes)))
+                yield pa.RecordBatch.from_arrays([pa.array([g for h in homes for g in h], pa.int64()), pa.array(ids[place]), raw(x[place])], names=["home", "query_id", "query"])
+
+    asked = sound.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = asked.mapInArrow(probe, "home long, query_id long, query binary")
+    parts = max(1, -(-asked.count() // QUERY_ROWS))
+    placed = F.broadcast(spark.createDataFrame(homes, "cell long, first long, parts long"))  # CELLS rows at most
+    v_rows = indexed.join(placed, "cell").select(
+        (F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("home"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("lot"), "cell", "vec_id", "code", "vector"
+    )
+    q_rows = queries.select(F.col("home").alias("q_home"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("q_lot"), "query_id", "query")
+
+    def meet(here: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(here) and len(asked):
             here = here.sort_values("vec_id", kind="stable")
-            ids = here["vec_id"].to_numpy()
+            ids, cells = here["vec_id"].to_numpy(), here["cell"].to_numpy()
             codes = np.frombuffer(b"".join(here["code"]), np.uint8).reshape(len(ids), -1)
-            x = np.frombuffer(b"".join(here["vector"])).reshape(len(ids), -1)
+            x = np.frombuffer(b"".join(here["vector"]), kind).reshape(len(ids), -1)
             asking = asked["query_id"].to_numpy()
-            q = np.frombuffer(b"".join(asked["query"])).reshape(len(asking), -1)
+            q = np.frombuffer(b"".join(asked["query"]), kind).reshape(len(asking), -1)
             for at in range(0, len(q), 128):
-                rough = shared.value.by_table(q[at : at + 128], int(key[0]), codes)
+                some = q[at : at + 128].astype(np.float64)
+                rough = shared.value.by_table(some, cells, codes)
                 rough[asking[at : at + 128, None] == ids[None]] = -np.inf
-                best = np.argsort(-rough, axis=1, kind="stable")[:, : RERANKED + 1]
+                n = min(RERANKED, len(ids))
+                best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
                 for i, places in enumerate(best):
-                    places = places[np.isfinite(rough[i, places])]
-                    exact = x[places] @ q[at + i]
+                    places = np.sort(places[np.isfinite(rough[i, places])])
+                    exact = x[places].astype(np.float64) @ some[i]
                     top = np.lexsort((ids[places], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": asking[at + i], "vec_id": ids[places[top]], "score": exact[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+                    out.append((np.full(len(top), asking[at + i]), ids[places[top]], exact[top]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
-    v_rows = v_side.select("cell", "v", "q", "vec_id", "code", "vector")
-    q_rows = q_side.select(F.col("cell").alias("cell_q"), F.col("v").alias("v_q"), F.col("q").alias("q_q"), "query_id", "query")
-    found = v_rows.groupBy("cell", "v", "q").cogroup(q_rows.groupBy("cell_q", "v_q", "q_q")).applyInPandas(meet, RESULT)
+    found = v_rows.groupBy("home", "lot").cogroup(q_rows.groupBy("q_home", "q_lot")).applyInPandas(meet, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -283,10 +283,11 @@ def test_reliabilities():
 # --- nearest vectors -----------------------------------------------------------------------------
 
 
-def test_op10(spark):
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_op10(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
-    got = QUERIES["op10_ann"](spark, SF).orderBy("query_id", "rank").collect()
+    got = QUERIES["op10_ann"](spark, folder).orderBy("query_id", "rank").collect()
     hits = 0
     for q in np.flatnonzero(ids % 20 == 0):
         scores = x @ x[q]
@@ -299,6 +300,37 @@ def test_op10(spark):
     assert hits >= 0.9 * len(got)
 
 
+def test_clustered_vectors_are_pruned():
+    """Where vectors lie in bunches, few cells are probed and still hold the nearest."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(60, 32)), 50, axis=0) + 0.1 * rng.normal(size=(3000, 32))
+    index = ann.fit(x[rng.permutation(len(x))], len(x))
+    cell, codes = index.encode(x)
+    assert index.probes <= 0.2 * len(index.centers)
+    rough, hits = index.by_table(x[:100], cell, codes), 0
+    for i in range(100):
+        hits += len(set(np.argsort(-rough[i])[:100].tolist()) & set(np.argsort(-(x @ x[i]))[:20].tolist()))
+    assert hits >= 0.9 * 2000
+
+
+def test_groups_hold_a_bounded_number_of_vectors():
+    rng = np.random.default_rng(4)
+    counts = {c: int(n) for c, n in enumerate(rng.integers(1, 900, 200))} | {200: 5 * ann.GROUP_ROWS + 1}
+    held = Counter()
+    for cell, first, parts in ann.grouped(counts):
+        for g in range(first, first + parts):
+            held[g] += -(-counts[cell] // parts)
+    assert max(held.values()) <= ann.GROUP_ROWS and len(ann.grouped(counts)) == len(counts)
+    assert len(held) < 2 * sum(counts.values()) / ann.GROUP_ROWS + 2
+
+
+def test_rows_that_share_a_query_id_ask_as_the_least(spark):
+    rows = [(0, [2.0, 1.0]), (0, [1.0, 2.0]), (1, [5.0, 0.0]), (2, [0.0, 6.0])]
+    for order in (rows, rows[::-1]):
+        got = ann.search(spark.createDataFrame(order, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+        assert [tuple(r) for r in got] == [(0, 1, 2, 12.0), (0, 2, 1, 5.0)]
+
+
 def test_op10_odd(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [-2.0, 0.5]), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], "vec_id long, embedding array<float>, cell int, rank int")
