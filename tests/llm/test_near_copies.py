@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from gridmill.llm import near_copies, stages
 
 from .conftest import SF
@@ -70,3 +72,34 @@ def test_rows_with_repeated_or_null_keys(spark):
     rows = [(1, text), (2, text), (2, "another text that is like no other one here"), (None, text + " end"), (None, "a text of its own without any key at all"), (3, None), (4, ""), (3, None)]
     got = near_copies.drop_near_copies(spark.createDataFrame(rows, FIELDS)).collect()
     assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_similar_pairs_by_brute_force():
+    rng = np.random.default_rng(5)
+    bases = [rng.integers(0, 1 << 60, n, np.uint64) for n in (0, 1, 9, 120, 9000)]
+    sets = [np.unique(np.where(rng.random(len(b)) < share, rng.integers(0, 1 << 60, len(b), np.uint64), b)) for b in bases for share in (0, 0.05, 0.1, 0.2)]
+    want = [[i, j] for i, a in enumerate(sets[:12]) for j, b in enumerate(sets[4:]) if near_copies.similar(a.tobytes(), b.tobytes())]
+    assert near_copies.similar_pairs(sets[:12], sets[4:]).tolist() == want
+
+
+def test_buckets_in_blocks(spark, monkeypatch):
+    """Copies of many kinds of edits: most are like some others, few like the smallest."""
+    r = random.Random(3)
+    base, texts = [f"w{i}" for i in range(100)], []
+    for _ in range(120):
+        words = list(base)
+        for _ in range(r.choice([1, 3, 5, 8])):
+            words[r.randrange(100)] = f"x{r.randrange(50)}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", 16)
+    df = spark.createDataFrame(list(enumerate(texts)), FIELDS)
+    assert {x.doc_id for x in near_copies.drop_near_copies(df).collect()} == brute(texts)
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    names = ["_row", "words", "root", "keys", "text_hash", "least", "a.b"]
+    df = spark.createDataFrame([(1, "one text of some words", *names), (1, "one text of some words", *names), (2, "One  text of some WORDS", *names), (None, None, *names)], FIELDS + ", " + ", ".join(f"`{n}` string" for n in names))
+    out = stages.simhash_stage(spark, df, SF)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "one text of some words", *names), (None, None, *names)]
+    assert stages.simhash_stage(spark, df.limit(0), SF).collect() == []
