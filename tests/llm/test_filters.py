@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from gridmill.llm import html_text, quality, toxicity
@@ -137,6 +138,55 @@ def test_pool_and_peaks_agree():
         assert np.allclose(model.pool(added)[0], model.peaks(added))
 
 
+def naive_score(model, text):
+    """The classifier by plain loops over words, windows and filters."""
+    words = toxicity.words_of(text)
+    vectors = [sum(model.embed[slot].astype(float) for slot in row) for row in toxicity.parts_of(words)]
+    total, at = model.shift, 0
+    for width, weights in zip(toxicity.WIDTHS, model.filters, strict=True):
+        for f in range(toxicity.FILTERS):
+            responses = [sum(float(vectors[i + j] @ weights[j, f]) for j in range(width) if i + j < len(vectors)) for i in range(len(vectors))]
+            x = (max(responses) if responses else 0.0) + model.bias[at]
+            total += max(x, toxicity.LEAK * x) * model.out[at]
+            at += 1
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_by_naive_convolution():
+    rng = np.random.default_rng(2)
+    model = toxicity._new(rng, -1.0)
+    model.embed *= 40
+    model.bias += rng.normal(size=len(model.bias)).astype(np.float32)
+    texts = [b"", b"one", b"two words", "Grüße, a LONGER text: with words, words and others".encode(), b"x y z " * 40]
+    assert np.allclose(model.scores(texts), [naive_score(model, t) for t in texts], atol=1e-4)
+
+
+def test_held_out_labels():
+    """Trained outside of the held-out fold, it finds the toxic rows inside it."""
+    docs = {r["doc_id"]: r for r in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()}
+    labels = [(r["doc_id"], r["toxic"]) for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist()]
+    rows = [(k, (docs[k]["text"] or "").encode(), docs[k]["lang"], t) for k, t in sorted(labels, key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0])) if k in docs]
+    held = [r for r in rows if zlib.crc32(b"%d" % r[0]) % 4 == 2]
+    model = toxicity.learn([r for r in rows if zlib.crc32(b"%d" % r[0]) % 4 != 2], sum(t for _, t in labels) / len(labels))
+    predicted, truth = model.scores([r[1] for r in held]) >= toxicity.THRESHOLD, np.array([r[3] == 1 for r in held])
+    assert predicted[truth].mean() > 0.9 and truth[predicted].mean() > 0.9
+
+
+def test_sample_by_bytes():
+    rows = [(k, 100, int(k % 3 == 0)) for k in range(30)]
+    assert sorted(toxicity.within(rows)) == list(range(30))
+    taken = toxicity.within(rows, 1500)
+    assert len(taken) == 15 and sum(k % 3 == 0 for k in taken) == 5
+    assert sorted(toxicity.within([(1, 10**9, 1), (2, 10**9, 0)], 1000)) == [1, 2]
+
+
+def test_labels_that_differ_and_keys_that_repeat(spark):
+    rows = [(k, "nice words of many people", "en") for k in range(40)] + [(k, "vile words of some people", "en") for k in range(40, 80)] + [(3, "another text of key three", "en")]
+    labels = [(k, int(k >= 40)) for k in range(80)] + [(50, 0), (51, 0)]
+    score = lambda d, x: sorted((r.doc_id, round(r.score, 5)) for r in toxicity.toxicity(spark.createDataFrame(d, "doc_id long, text string, lang string"), spark.createDataFrame(x, "doc_id long, toxic int")).select("doc_id", "score").collect())
+    assert score(rows, labels) == score(rows[::-1], labels[::-1]) == score(rows, [x for x in labels if x not in ((50, 0), (51, 0))])
+
+
 def test_op2_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1), (99, 1, 1), (6, 1, None), (1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()
