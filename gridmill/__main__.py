@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import glob
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,32 +14,17 @@ from .functions.types import infer_type, parse_type
 from .operators import checksum
 from .plans.catalog import load_logger
 from .plans.jsonschema_subset import load_schema, validate_json
-from .sources.trees import FileTreeDataSource
+from .sources.trees import list_hashable
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.text(paths).select(F.trim("value").alias("value"))
+    """Lines without the white space around them, of every kind."""
+    return spark.read.text(paths).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("value"))
 
 
-def _tree(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(FileTreeDataSource)
-    return spark.read.format("file_tree").load(path)
-
-
-def _contents(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """fn, content of regular files, read by the executors."""
-
-    def read(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for fn in batch["fn"]:
-                with open(fn, "rb") as f:
-                    rows.append((fn, f.read()))
-            yield pd.DataFrame(rows, columns=["fn", "content"])
-
-    return files.filter("code = 'NONE'").select("fn").mapInPandas(read, "fn string, content binary")
+def _expanded(paths: list[str]) -> list[str]:
+    """Paths with patterns filled in; none at all is the current folder."""
+    return [x for p in paths for x in (sorted(glob.glob(p)) or [p])] or ["."]
 
 
 def _show(df: DataFrame) -> int:
@@ -57,17 +43,26 @@ def main(args: list[str] | None = None) -> int:
         ("delta", "seconds of durations", "paths"),
         ("json", "whether documents fit a schema", "schema", "paths"),
         ("catalog", "whether catalogs are sound", "paths"),
-        ("manifest", "checksum lines of a folder", "folder"),
-        ("verify", "a folder against a manifest", "manifest", "folder"),
-        ("names", "problems of file names below a folder", "folder"),
+        ("manifest", "checksum lines of files and folders", "paths"),
+        ("verify", "files and folders against a manifest", "manifest", "paths"),
+        ("names", "problems of file names below folders and in archives", "paths"),
         ("text", "encodings and control characters of files below a folder", "folder"),
     ):
         command = commands.add_parser(name, help=about)
         for m in more:
-            command.add_argument(m, nargs="+" if m == "paths" else None)
+            command.add_argument(m, nargs=("*" if name in ("manifest", "verify", "names") else "+") if m == "paths" else None)
         if name == "manifest":
             command.add_argument("--algorithm", default="sha512", choices=list(checksum.ALGORITHMS.values()))
-            command.add_argument("--sort", default="NO_SORT", choices=["NO_SORT", "BY_LINE", "BY_HASH", "BY_FILE"])
+            command.add_argument("--sort", default="NO_SORT", choices=["NO_SORT", "BY_LINE", "BY_HASH", "BY_FILE", "BY_PATH"])
+            command.add_argument("-o", "--outfile", help="write there instead, to a new file")
+        if name == "verify":
+            command.add_argument("-p", "--ignorepath", action="store_true", help="match files by their last name alone")
+        if name == "names":
+            command.add_argument("-L", "--ignore-symlinks", action="store_true")
+            command.add_argument("-Z", "--ignore-compressed", action="store_true")
+            command.add_argument("-a", "--allowed-chars", action="append", default=[], help="characters that are allowed beyond ASCII")
+            for language in ("german", "french", "spanish"):
+                command.add_argument(f"--{language}", action="store_true", help=f"allow the letters of {language.title()}")
         if name == "text":
             command.add_argument("--size-limit", type=int, default=10_000_000)
     given = parser.parse_args(args)
@@ -90,18 +85,21 @@ def main(args: list[str] | None = None) -> int:
     if given.command == "delta":
         _show(_lines(spark, given.paths).select("value", scalars.deltaparse(F.col("value"), strict=True)))
         return 0
-    files = _tree(spark, given.folder)
     if given.command == "manifest":
-        _show(checksum.generate_manifest(_contents(spark, files), given.algorithm, given.sort))
+        files = list_hashable(spark, _expanded(given.paths)).withColumn("ord", F.monotonically_increasing_id())
+        hashed = checksum.hash_files(files, given.algorithm).filter("code <> 'SKIP'").select(F.col("hashed").alias("fn"), "hsh", "ord")
+        lines = checksum.manifest_of(hashed, given.sort)
+        n = checksum.write_manifest(lines, given.outfile) if given.outfile else _show(lines)
+        print(f"{n} digests", file=sys.stderr)
         return 0
     if given.command == "verify":
         sums = checksum.parse_lines(spark.read.text(given.manifest)).withColumn("ord", F.monotonically_increasing_id())
-        listed = files.withColumn("ord", F.monotonically_increasing_id())
-        results = checksum.validate(checksum.reconcile(sums, listed), _contents(spark, files))
+        results = checksum.check_hashes(checksum.match_files(spark, sums, _expanded(given.paths), given.ignorepath))
         return int(_show(results.filter("code not in ('SUMOK', 'SKIP')")) > 0)
     if given.command == "names":
-        named = files.select(scalars.basename(F.col("fn")).alias("name"), F.regexp_extract("fn", "^(.*)/", 1).alias("loc"), F.monotonically_increasing_id().alias("ord"))
-        return int(_show(filenames.name_problems(named, "name", "ord", ["loc"]).select("loc", "name", "problem")) > 0)
+        letters = [c for language in ("german", "french", "spanish") if getattr(given, language) for c in getattr(filenames, language.upper())]
+        found = filenames.audit_tree(spark, _expanded(given.paths), ignore_compressed=given.ignore_compressed, ignore_symlinks=given.ignore_symlinks, allowed=[*"".join(given.allowed_chars), *letters])
+        return int(_show(found.select(F.array_join("names", " -> "), "problem")) > 0)
     small = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(given.folder).filter(F.col("length") <= given.size_limit)
     known = small.select("path", F.array_join(text.decodable(F.col("content")), ",").alias("encodings"), F.when(F.is_valid_utf8(F.col("content").cast("string")), text.control_report(F.col("content").cast("string"))))
     _show(known)

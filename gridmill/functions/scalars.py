@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import os
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -52,16 +54,28 @@ def basename(path: Column) -> Column:
 
 
 def common_parent(paths: list[str]) -> str:
-    """The deepest folder above all paths."""
-    split = [p.rstrip("/").split("/") for p in paths]
-    shared = 0
-    for level in zip(*split, strict=False):
-        if len(set(level)) > 1:
-            break
-        shared += 1
-    if any(len(p) == shared for p in split) and len(paths) > 1:
-        shared = min(shared, min(map(len, split)))
-    return "/".join(split[0][:shared]) or "/"
+    """The deepest folder that holds all paths; a path that is no folder counts as its own folder's."""
+    return os.path.commonpath([p if os.path.isdir(p) or not os.path.lexists(p) else os.path.dirname(p) for p in paths])
+
+
+def relative_to(path: Column, parent: Column) -> Column:
+    """A path below a folder, without the folder; null if it is not below it."""
+    stem = F.rtrim(parent, F.lit("/"))
+    return F.when(path == parent, F.lit(".")).when(F.startswith(path, F.concat(stem, F.lit("/"))), F.substr(path, F.length(stem) + 2))
+
+
+def as_posix(path: Column) -> Column:
+    """A path with slashes for backslashes."""
+    return F.translate(path, "\\", "/")
+
+
+def normalized(path: Column) -> Column:
+    """A path without empty and . parts, and with .. taken back; links are not followed."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    absolute = F.startswith(path, F.lit("/"))
+    step = lambda done, x: F.when((x == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != ".."), F.slice(done, F.lit(1), F.size(done) - 1)).when((x == "..") & absolute, done).otherwise(F.array_append(done, x))
+    kept = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(absolute, F.concat(F.lit("/"), kept)).when(kept == "", F.lit(".")).otherwise(kept)
 
 
 def quote(name: str) -> str:
@@ -70,10 +84,3 @@ def quote(name: str) -> str:
         raise ValueError("NUL in an identifier")
     name.encode("utf-8")
     return "`" + name.replace("`", "``") + "`"
-
-
-def register_sql(spark: SparkSession) -> None:
-    """SQL functions of the helpers that plain SQL expresses."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION epoch_text(x BIGINT) RETURNS STRING RETURN date_format(timestamp_seconds(x), \"yyyy-MM-dd HH:mm:ss'Z'\")")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION grapheme_clusters(x STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(x, r'(?s)\\X', 0)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION path_basename(x STRING) RETURNS STRING RETURN element_at(split(x, '/'), -1)")

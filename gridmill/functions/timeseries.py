@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sizes import small
+
 GOOD, UNUSUAL, BAD = "GOOD", "UNUSUAL", "BAD"
 
 
@@ -85,7 +87,7 @@ def in_range(ts: Column, start: Column, end: Column) -> Column:
 
 def outside_ranges(df: DataFrame, ts: str, ranges: DataFrame) -> DataFrame:
     """Rows whose time lies in none of the ranges (start, end): anti range join with a declared list."""
-    r = F.broadcast(ranges.select(F.col("start").alias("_start"), F.col("end").alias("_end")))  # declared by hand in a catalog
+    r = small(ranges.select(F.col("start").alias("_start"), F.col("end").alias("_end")))
     return df.join(r, in_range(F.col(ts), F.col("_start"), F.col("_end")), "left_anti")
 
 
@@ -105,4 +107,10 @@ def overlapping(ranges: DataFrame, strict_order: bool = True) -> DataFrame:
         hit = inside("b1", "a") | inside("b2", "a") | (inside("a1", "b") & inside("a2", "b")) | same_point
     else:
         hit = (F.col("a1") < F.col("b2")) & (F.col("b1") < F.col("a2")) | same_point
-    return a.join(b, (F.col("i") < F.col("j")) & hit).select("i", "j")
+    # Ranges that collide share a stretch or an instant, so they meet in a slot of time they both touch: slots as wide as the mean range.
+    width = ranges.agg(F.avg(F.unix_seconds(F.coalesce("end", "start").cast("timestamp")) - F.unix_seconds(F.col("start").cast("timestamp"))).alias("w")).first()["w"]
+    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / max(1.0, width or 0.0))
+    dealt = lambda df, x: df.withColumn("slot", F.explode(F.sequence(F.least(slot(f"{x}1"), slot(f"{x}2")), F.greatest(slot(f"{x}1"), slot(f"{x}2")))))
+    met = dealt(a, "a").join(dealt(b, "b"), "slot").filter((F.col("i") < F.col("j")) & hit)
+    # A pair that shares several slots counts in the first.
+    return met.filter(F.col("slot") == F.greatest(slot("a1"), slot("b1"))).select("i", "j")

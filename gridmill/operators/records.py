@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.sizes import small
 from ..functions.types import TimestampNoTz, cast_all, type_violations
 from ..plans.catalog import Logger, Table
 
@@ -30,11 +31,18 @@ def table_view(df: DataFrame, table: Table, name: str) -> DataFrame:
     return view(df, [(f"`{old.name}`", new.name) for old, new in table.views[name]])
 
 
-def typed(df: DataFrame, table: Table, strict: bool = False) -> DataFrame:
-    """Rows cast as the catalog declares, by SQL names; wall-clock times stay as they are."""
+def typed(df: DataFrame, table: Table, strict: bool = False, zoned: bool = False) -> DataFrame:
+    """Rows cast as the catalog declares, by SQL names. Wall-clock times stay as they are, or with zoned are instants in the logger's zone."""
     rest = [c for c in df.columns if c.startswith("_")]
     named = df.select(*(F.col(f"`{c.name}`").alias(c.header.sql) for c in table.columns), *rest)
-    return cast_all(named, {c.header.sql: c.type for c in table.columns if c.type}, strict)
+    types = {c.header.sql: c.type for c in table.columns if c.type}
+    out = cast_all(named, types, strict)
+    if not zoned:
+        return out
+    zone = str(table.logger.tz) if table.logger.tz else "UTC"
+    wall = {k for k, t in types.items() if isinstance(t, TimestampNoTz)}
+    # Texts of the same rows, so that casts and conversions read the same value.
+    return named.select(*(types[c].to_utc(F.col(c), zone).alias(c) if c in wall else types[c].cast(F.col(c), strict).alias(c) if c in types else F.col(c) for c in out.columns))
 
 
 def typed_utc(df: DataFrame, table: Table) -> DataFrame:
@@ -61,12 +69,21 @@ def source_text(src: Column) -> Column:
     return F.concat(F.when(F.size(src["files"]) > 1, F.concat(F.lit("("), files, F.lit(")"))).otherwise(files), F.lit(":"), src["line"].cast("string"))
 
 
-def match_environment(env: DataFrame, patterns: DataFrame, columns: list[str], name: str = "logger") -> DataFrame:
-    """Each environment row with its matching pattern and how many match; a pattern's nulls match anything."""
-    p = F.broadcast(patterns.select(name, *(F.col(c).alias(f"_p_{c}") for c in columns)))  # declared by hand in a catalog
+def match_environment(env: DataFrame, patterns: DataFrame, columns: list[str], name: str = "logger", strict: bool = False) -> DataFrame:
+    """Each distinct environment with its rows (n_rows), how many patterns match it (n_matches), and the least of them.
+
+    A pattern's nulls match anything. Every file of a logger repeats its
+    environment, so rows are counted first and patterns meet each distinct one
+    once. With strict an environment that several patterns match raises.
+    """
+    known = env.groupBy(*env.columns).agg(F.count(F.lit(1)).alias("n_rows"))
+    p = small(patterns.select(name, *(F.col(c).alias(f"_p_{c}") for c in columns)).distinct())
     fits = reduce(lambda a, b: a & b, (F.col(f"_p_{c}").isNull() | (F.col(f"_p_{c}") == F.col(c)) for c in columns))
-    joined = env.join(p, fits, "left")
-    return joined.groupBy(*env.columns).agg(F.count(name).alias("n_matches"), F.min(name).alias(name))
+    out = known.join(p, fits, "left").groupBy(*known.columns).agg(F.count(name).alias("n_matches"), F.min(name).alias(name))
+    if not strict:
+        return out
+    several = F.raise_error(F.concat(F.lit("several loggers fit: "), F.to_json(F.struct(*env.columns)))).cast("string")
+    return out.withColumn(name, F.when(F.col("n_matches") > 1, several).otherwise(F.col(name)))
 
 
 def apply_catalog(df: DataFrame, logger: Logger, ts: str) -> DataFrame:

@@ -43,12 +43,17 @@ COLUMN_NAME = r"[A-Za-z_][A-Za-z_0-9]{1,250}(?:\([0-9]{1,3}\))?"
 UNIT = r"[^\[\]\\\x00-\x1F\x7F-\U0010FFFF]{0,64}"
 PROCESS = r"[A-Za-z_0-9\- .]{0,32}"
 
+DATE_TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}(?:Z|[+-][0-9]{2}:[0-9]{2})?"
+
 _ident = {"type": "string", "pattern": f"^{IDENTIFIER}$"}
+_colname = {"type": "string", "pattern": f"^{COLUMN_NAME}$"}
 _text = {"type": "string"}
-_range = {"type": "object", "required": ["time", "why"], "additionalProperties": False, "properties": {"time": _text, "end": _text, "why": _text}}
-_column = {"type": "object", "required": ["name"], "additionalProperties": False, "properties": {"name": {"type": "string", "pattern": f"^{COLUMN_NAME}$"}, "unit": _text, "prc": _text}}
-_full_column = _column | {"properties": _column["properties"] | {"type": _text, "lodt": {"enum": list(LOGGER_TYPES)}, "var": _ident, "desc": _text, "plotgrp": _text, "sens": _ident}}
-_issue = {"type": "object", "required": ["type", "cols", "when"], "additionalProperties": False, "properties": {"type": {"enum": ["bad", "unusual"]}, "cols": {"type": "array", "minItems": 1, "items": _text}, "when": _range}}
+_time = {"type": "string", "pattern": f"^{DATE_TIME}$"}
+_bound = {"type": "string", "pattern": f"^(?:{DATE_TIME}|open)$"}
+_range = {"type": "object", "required": ["time", "why"], "additionalProperties": False, "properties": {"time": _bound, "end": _bound, "why": _text}}
+_column = {"type": "object", "required": ["name"], "additionalProperties": False, "properties": {"name": _colname, "unit": _text, "prc": _text}}
+_full_column = _column | {"properties": _column["properties"] | {"type": _text, "lodt": {"enum": list(LOGGER_TYPES)}, "var": _ident, "desc": _text, "plotgrp": _ident, "sens": _ident}}
+_issue = {"type": "object", "required": ["type", "cols", "when"], "additionalProperties": False, "properties": {"type": {"enum": ["bad", "unusual"]}, "cols": {"type": "array", "minItems": 1, "uniqueItems": True, "items": _colname}, "when": _range}}
 _mapping = {
     "type": "object",
     "required": ["type", "map"],
@@ -65,6 +70,7 @@ _table = {
         "columns": {"type": "array", "minItems": 1, "items": _full_column},
         "mappings": {"type": "object", "propertyNames": _ident, "additionalProperties": _mapping},
         "known_issues": {"type": "array", "items": _issue},
+        "$comment": _text,
     },
 }
 SCHEMA = {
@@ -75,12 +81,13 @@ SCHEMA = {
         "logger_name": _ident,
         "toa5_env_match": {"type": "object", "minProperties": 1, "additionalProperties": False, "properties": {k: _text for k in ENVIRONMENT[:-1]}},
         "tz": _text,
-        "min_datetime": _text,
-        "variants": {"type": "array", "minItems": 1, "uniqueItems": True, "items": _ident},
-        "sensors": {"type": "object", "minProperties": 1, "propertyNames": _ident, "additionalProperties": _text},
-        "known_gaps": {"type": "array", "items": _range},
-        "skip_records": {"type": "array", "items": _range},
-        "ignore_tables": {"type": "array", "uniqueItems": True, "items": _ident},
+        "min_datetime": _time,
+        "variants": {"type": "array", "uniqueItems": True, "items": _ident},
+        "sensors": {"type": "object", "propertyNames": _ident, "additionalProperties": _text},
+        "known_gaps": {"type": "array", "minItems": 1, "items": _range},
+        "skip_records": {"type": "array", "minItems": 1, "items": _range},
+        "ignore_tables": {"type": "array", "minItems": 1, "uniqueItems": True, "items": _ident},
+        "$comment": _text,
         "tables": {"type": "object", "minProperties": 1, "propertyNames": _ident, "additionalProperties": _table},
     },
 }

@@ -247,18 +247,22 @@ _PATTERNS = [("any_region0", None, 0), ("any_region1", None, 1), ("named", "NATI
 
 
 @query("""
-WITH p(logger, name, region) AS (VALUES ('any_region0', NULL, 0), ('any_region1', NULL, 1), ('named', 'NATION_3', NULL), ('both', 'NATION_3', 3))
-SELECT n_name AS name, n_regionkey AS region, count(logger) AS n_matches, min(logger) AS logger
-FROM nation n LEFT JOIN p ON (p.name IS NULL OR p.name = n.n_name) AND (p.region IS NULL OR p.region = n.n_regionkey) GROUP BY ALL""")
+WITH p(logger, name, region) AS (VALUES ('any_region0', NULL, 0), ('any_region1', NULL, 1), ('named', 'NATION_3', NULL), ('both', 'NATION_3', 3)),
+e AS (SELECT n_name AS name, n_regionkey AS region FROM nation JOIN customer ON c_nationkey = n_nationkey), d AS (SELECT name, region, count(*) AS n_rows FROM e GROUP BY ALL)
+SELECT d.name, d.region, n_rows, count(logger) AS n_matches, min(logger) AS logger
+FROM d LEFT JOIN p ON (p.name IS NULL OR p.name = d.name) AND (p.region IS NULL OR p.region = d.region) GROUP BY ALL""")
 def env_match(spark, sf_dir):
-    env = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    """Environments as files bring them: each nation once for each of its customers."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    env = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
     return records.match_environment(env, spark.createDataFrame(_PATTERNS, "logger string, name string, region int"), ["name", "region"])
 
 
-@query("SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS segments FROM customer GROUP BY c_nationkey")
+@query("SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS c_mktsegment FROM customer GROUP BY c_nationkey")
 def env_merge(spark, sf_dir):
-    merged = F.array_join(F.array_sort(F.collect_set("c_mktsegment")), "|")
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(merged.alias("segments"))
+    from ..sources.toa5 import merge_environments
+
+    return merge_environments(table(spark, sf_dir, "customer"), fields=["c_mktsegment"], keys=["c_nationkey"])
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -320,6 +324,26 @@ def epoch_pk_roundtrip(spark, sf_dir):
     return o.withColumn("shown", scalars.epoch_text(F.col("pk")))
 
 
+@query("""
+SELECT strftime(TIMESTAMP '2000-01-01' + to_minutes(o_orderkey), '%Y-%m-%d %H:%M:%SZ') AS at, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+def store_roundtrip(spark, sf_dir):
+    """A store with a time as key: created, filled twice with overlap and conflicts, scanned by key."""
+    import uuid
+
+    from ..sources.shared import shared_folder
+
+    t = store.StoreTable(f"kept_{uuid.uuid4().hex}", (store.StoreColumn("at", "BIGINT", key=True), store.StoreColumn("status"), store.StoreColumn("price", "DOUBLE", comment="total")), key_is_time=True)
+    t.create(spark, shared_folder(spark, "store"))
+    o = table(spark, sf_dir, "orders")
+    minute = lambda zone: F.timestamp_seconds(F.col("o_orderkey") * 60 + 946684800 + zone * 3600)
+    spelled = lambda zone, end: F.concat(F.date_format(minute(zone), "yyyy-MM-dd HH:mm:ss"), F.lit(end)).alias("at")
+    rows = lambda df, at, price: df.select(at, F.col("o_orderstatus").alias("status"), price.alias("price"))
+    t.append(spark, rows(o.filter("o_orderkey % 2 = 0"), spelled(0, "Z"), F.col("o_totalprice")))
+    changed = F.when(F.col("o_orderkey") % 30 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    t.append(spark, rows(o.filter("o_orderkey % 3 = 0"), spelled(2, "+02:00"), changed), mode="report")
+    return t.scan(spark)
+
+
 # --- checksums -----------------------------------------------------------------------------------
 
 
@@ -391,18 +415,53 @@ def reconcile_dupes(spark, sf_dir):
     return checksum.reconcile(sums.unionByName(more), files, ignore_path=True).select("fn", "code")
 
 
-def _sorted_manifest(name: str, columns: list[str], prefix: int):
+def _sorted_manifest(name: str, columns: list[str]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = _files(spark, sf_dir).select("fn", F.md5(F.col("text").cast("binary")).alias("hsh"), F.col("ord").alias("place"))
-        return checksum.with_ordinal(f, columns, prefix).select("fn", "hsh", "ordinal")
+        return checksum.with_ordinal(f, columns).select("fn", "hsh", "ordinal")
 
     run.__name__ = name
     keys = ", ".join({"place": "ord"}.get(c, c) for c in columns)
     return query(f"SELECT fn, hsh, row_number() OVER (ORDER BY {keys}) AS ordinal FROM (SELECT fn, md5(text) AS hsh, ord FROM ({_FILES}))")(run)
 
 
-for _name, _keys, _prefix in (("sort_by_line", ["hsh", "fn", "place"], 3), ("sort_by_hash", ["hsh", "place"], 3), ("sort_by_file", ["fn", "place"], 13)):
-    _sorted_manifest(_name, _keys, _prefix)
+for _name, _keys in (("sort_by_line", ["hsh", "fn", "place"]), ("sort_by_hash", ["hsh", "place"]), ("sort_by_file", ["fn", "place"])):
+    _sorted_manifest(_name, _keys)
+
+
+@query("""
+WITH d AS (SELECT doc_id AS k, source || '/' || doc_id || '.txt' AS fn FROM documents)
+SELECT CASE WHEN k % 13 = 0 AND k % 7 <> 0 THEN 'gone/' || fn ELSE fn END AS fn, CASE WHEN k % 7 = 0 THEN 'NOSUM' WHEN k % 13 = 0 THEN 'MISSING' WHEN k % 11 = 0 THEN 'SUMMISMATCH' ELSE 'SUMOK' END AS code FROM d
+UNION ALL SELECT fn, 'NOSUM' FROM d WHERE k % 13 = 0 AND k % 7 <> 0
+UNION ALL SELECT 'links/' || k, 'SKIP' FROM d WHERE k % 20 = 0 UNION ALL SELECT 'pipes/' || k, 'SKIP' FROM d WHERE k % 50 = 0""")
+def checksum_tree(spark, sf_dir):
+    """Documents as real files with links and pipes beside them, listed, matched with a manifest and read again for their digests.
+
+    Needs a shared folder that is mounted.
+    """
+    import os
+
+    from ..sources.shared import plain, shared_folder, write_file
+
+    root = os.path.realpath(plain(shared_folder(spark, "tree")))
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), name.alias("fn"), "text")
+
+    def write(batches):
+        for batch in batches:
+            for k, fn, text in zip(batch["ord"], batch["fn"], batch["text"], strict=True):
+                write_file(f"{root}/{fn}", (text or "").encode())
+                for kind, every, make in (("links", 20, lambda p: os.symlink("nowhere", p)), ("pipes", 50, os.mkfifo)):
+                    if k % every == 0:
+                        os.makedirs(f"{root}/{kind}", exist_ok=True)
+                        if not os.path.lexists(f"{root}/{kind}/{k}"):
+                            make(f"{root}/{kind}/{k}")
+            yield batch[["ord"]]
+
+    d.mapInPandas(write, "ord long").count()
+    sums = _sums(d).withColumn("hsh", F.col("hsh"))
+    results = checksum.check_hashes(checksum.match_files(spark, sums, [root]))
+    return results.select(scalars.relative_to(F.col("fn"), F.lit(root)).alias("fn"), "code")
 
 
 # --- texts and names -----------------------------------------------------------------------------
@@ -502,6 +561,32 @@ def lsb_obo_pairs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.lsb_obo(a.cast("string"), b.cast("string")).alias("obo"))
 
 
+@query("SELECT page_id, '/a/' || page_id || '/c' AS path, page_id || '/c' AS below, 'x/' || page_id AS posix FROM pages")
+def path_forms(spark, sf_dir):
+    k = F.col("page_id").cast("string")
+    path = scalars.normalized(F.concat(F.lit("/../a//"), k, F.lit("/./b/../c/")))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), scalars.relative_to(path, F.lit("/a/")).alias("below"), scalars.as_posix(F.concat(F.lit("x\\"), k)).alias("posix"))
+
+
+@query("""
+SELECT p_partkey, (p_size * 3660)::BIGINT AS seconds, p_partkey % 2 = 0 AS obo, CASE p_partkey % 3 WHEN 0 THEN 'UNUSUAL' WHEN 1 THEN 'GOOD' ELSE 'BAD' END AS quality,
+ CASE WHEN p_partkey % 2 = 0 THEN '1 LF, 1 CRLF, MIXED CR/LF' ELSE '2 CR' END AS report, CASE WHEN p_partkey % 4 = 0 THEN 'NonNegInt' ELSE 'Num(' || (length(floor(p_retailprice)::BIGINT::VARCHAR) + 2) || ',2)' END AS reftype FROM part""")
+def sql_functions(spark, sf_dir):
+    """The library's functions called from SQL."""
+    from ..functions.sql import register_sql
+
+    register_sql(spark)
+    p = table(spark, sf_dir, "part").withColumn("price", F.col("p_retailprice").cast("decimal(12,2)"))
+    return p.selectExpr(
+        "p_partkey",
+        "deltaparse(concat(p_size, 'h ', p_size, 'm')) AS seconds",
+        "lsb_obo(cast(price AS STRING), cast(cast(price + if(p_partkey % 2 = 0, 0.01, 0.03) AS DECIMAL(12,2)) AS STRING)) AS obo",
+        "basic_quality(CASE p_partkey % 3 WHEN 0 THEN '7999' WHEN 1 THEN p_name ELSE 'NaN' END) AS quality",
+        r"control_char_report(if(p_partkey % 2 = 0, concat(p_name, '\r\n', p_name, '\n'), concat(p_name, '\r', p_name, '\r'))) AS report",
+        "infer_reftype(if(p_partkey % 4 = 0, array(cast(p_size AS STRING)), array(cast(p_size AS STRING), cast(price AS STRING)))) AS reftype",
+    )
+
+
 @query("SELECT page_id, string_split(url, '/')[-1] AS name FROM pages")
 def path_basename(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scalars.basename(F.col("url")).alias("name"))
@@ -510,38 +595,31 @@ def path_basename(spark, sf_dir):
 # --- sources -------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT date_trunc('second', o_orderdate)::TIMESTAMP AS \"timestamp\", o_orderkey::BIGINT AS record, o_totalprice::DECIMAL(12,2) AS price FROM orders")
 def toa5_roundtrip(spark, sf_dir):
-    """Orders as the contents of logger files (64 or less for each status), parsed and typed.
+    """Orders written as logger files into the shared folder, read back by read_toa5() and typed.
 
-    The contents are strings in a DataFrame: no file is written, and neither the
-    toa5 source nor read_toa5 is run.
+    Needs a shared folder that is mounted.
     """
-    from ..sources.toa5 import write_rows
+    from pyspark import TaskContext
+
+    from ..sources.shared import plain, shared_folder, write_file
+    from ..sources.toa5 import read_toa5, write_rows
     from .catalog import load_logger
 
     columns = [{"name": "TIMESTAMP", "unit": "TS", "type": "TimestampNoTz"}, {"name": "RECORD", "unit": "RN", "type": "NonNegInt"}, {"name": "Price", "unit": "Volts", "prc": "Avg", "type": "Num(12,2)"}]
     logger = load_logger({"logger_name": "Orders", "tz": "UTC", "toa5_env_match": {"station_name": "Orders"}, "tables": {"Hourly": {"interval": "1hour", "columns": columns}}})
     t = logger.tables["Hourly"]
-    o = _strings(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderdate", "o_orderkey", "o_totalprice"))
-    line = F.format_string('"%s",%s,%s\r\n', "o_orderdate", "o_orderkey", "o_totalprice")
-    bucket = F.pmod(F.xxhash64("o_orderkey"), F.lit(64))
-    body = o.select("o_orderstatus", bucket.alias("bucket"), line.alias("line")).groupBy("o_orderstatus", "bucket").agg(F.array_join(F.array_sort(F.collect_list("line")), "").alias("body"))
-    head = write_rows(t, [])
-    files = body.select(F.concat("o_orderstatus", F.lit("-"), F.col("bucket").cast("string"), F.lit(".dat")).alias("name"), F.concat(F.lit(head), "body").alias("content"))
-    return parsed_files(files, logger, t)
-
-
-def parsed_files(files: DataFrame, logger, t) -> DataFrame:
-    """Typed rows of logger files that are already rows of name and content."""
-    import pandas as pd
-
-    from ..sources.toa5 import file_rows, row_schema
-
-    schema = row_schema(t)
-
-    def parse(batches):
-        for batch in batches:
-            yield pd.DataFrame([r for n, c in zip(batch["name"], batch["content"], strict=True) for r in file_rows([n], c.encode("ascii"), [logger], t)], columns=schema.names)
-
-    return records.typed(files.mapInPandas(parse, schema), t).select("timestamp", "record", "price")
+    folder = shared_folder(spark, "toa5")
+    root, head = plain(folder), write_rows(t, [])
+    o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("o_orderkey").cast("string").alias("k"), F.col("o_totalprice").cast("decimal(12,2)").cast("string").alias("price"))
+
+    def write(batches):
+        task = TaskContext.get().partitionId()
+        for n, batch in enumerate(batches):
+            body = "".join(f'"{at}",{k},{price}\r\n' for at, k, price in zip(batch["at"], batch["k"], batch["price"], strict=True))
+            write_file(f"{root}/orders-{task}-{n}.dat", (head + body).encode("ascii"))
+            yield batch[["k"]]
+
+    o.mapInPandas(write, "k string").count()
+    return records.typed(read_toa5(spark, folder, logger, t), t).select("timestamp", "record", "price")

@@ -3,7 +3,7 @@
     spark.dataSource.register(Toa5DataSource)
     spark.read.format("toa5").option("catalog", json).option("table", "Hourly").load(folder)
 
-One partition for each file; rows have the table's columns as strings (absent
+Small files share a partition; rows have the table's columns as strings (absent
 ones null) and a provenance struct. Files are listed and read through Hadoop's
 file systems only where a plain path is not given: see read_toa5().
 """
@@ -24,7 +24,10 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.catalog import ENVIRONMENT, Header, Logger, Table, load_logger
+from .trees import open_file
 
+#: Bytes of files that one task reads, about.
+TASK_BYTES = 64_000_000
 # Status tables that such loggers keep.
 STATUS_TABLES = ("DataTableInfo", "Public", "Status")
 
@@ -104,8 +107,8 @@ ENV_TYPE = T.StructType([T.StructField(k, T.StringType()) for k in ENVIRONMENT])
 SOURCE_TYPE = T.StructType([T.StructField("files", T.ArrayType(T.StringType())), T.StructField("line", T.IntegerType()), T.StructField("filetype", T.StringType()), T.StructField("env", ENV_TYPE)])
 
 
-def file_rows(files: list[str], data: bytes, loggers: list[Logger], table: Table, mode: str = "FAILFAST", skip_other_tables: bool = True) -> Iterator[tuple]:
-    """Rows of one file that belong to the table: its columns, provenance, and the error of a broken row.
+def records_of(files: list[str], data: bytes, loggers: list[Logger], mode: str = "FAILFAST", skip_other_tables: bool = True) -> Iterator[tuple[Table, list, tuple, str | None]]:
+    """Table, full row, provenance, and the error of a broken row, for all rows of one file.
 
     Files of tables that the catalog lacks are passed over with
     skip_other_tables; unknown loggers and layouts are always errors. With mode
@@ -122,13 +125,11 @@ def file_rows(files: list[str], data: bytes, loggers: list[Logger], table: Table
     if not all(x.isascii() for c in columns for x in (c.name, c.unit, c.prc)) or not all(map(str.isascii, env.values())):
         raise Toa5Error("the header is not ASCII")
     try:
-        found, layout = match_header(env, columns, loggers)
+        table, layout = match_header(env, columns, loggers)
     except NoTableMatch:
         if skip_other_tables:
             return
         raise
-    if found is not table and found.ident != table.ident:
-        return
     names = [env[k] for k in ENVIRONMENT]
     while True:
         error, broken, full = None, False, [None] * len(table.columns)
@@ -146,11 +147,19 @@ def file_rows(files: list[str], data: bytes, loggers: list[Logger], table: Table
             if mode != "PERMISSIVE":
                 raise e if isinstance(e, RecordError) else RecordError(f"{files}:{rows.line_num}: {e}") from e
             error, broken = str(e), isinstance(e, csv.Error)
-        yield (*full, (files, rows.line_num, "TOA5", tuple(names)), error)
+        yield table, full, (files, rows.line_num, "TOA5", tuple(names)), error
         if broken:  # the reader cannot tell where the next row starts
             return
 
 
+def file_rows(files: list[str], data: bytes, loggers: list[Logger], table: Table, mode: str = "FAILFAST", skip_other_tables: bool = True) -> Iterator[tuple]:
+    """Rows of one file that belong to the table: its columns, provenance, error."""
+    for found, full, source, error in records_of(files, data, loggers, mode, skip_other_tables):
+        if found is not table and found.ident != table.ident:
+            return
+        yield (*full, source, error)
+
+
 def row_schema(table: Table) -> T.StructType:
     """String columns of the table by physical name, provenance, error."""
     return T.StructType([*(T.StructField(c.name, T.StringType()) for c in table.columns), T.StructField("_src", SOURCE_TYPE), T.StructField("_error", T.StringType())])
@@ -187,13 +196,19 @@ class _Toa5Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         path = self.path.removeprefix("file:")
         found = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names] if os.path.isdir(path) else glob.glob(path)
-        return [InputPartition(f) for f in sorted(found)] or [InputPartition(None)]
+        out, held = [[]], 0
+        for f in sorted(found):
+            if out[-1] and held + os.path.getsize(f) > TASK_BYTES:
+                out.append([])
+                held = 0
+            out[-1].append(f)
+            held += os.path.getsize(f)
+        return [InputPartition(x) for x in out]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is None:
-            return
-        with open(partition.value, "rb") as f:
-            yield from file_rows([partition.value], f.read(), self.loggers, self.table, self.mode)
+        for name in partition.value:
+            with open(name, "rb") as f:
+                yield from file_rows([name], f.read(), self.loggers, self.table, self.mode)
 
 
 def read_toa5(spark: SparkSession, path: str, logger: Logger, table: Table, mode: str = "FAILFAST") -> DataFrame:
@@ -211,6 +226,45 @@ def read_toa5(spark: SparkSession, path: str, logger: Logger, table: Table, mode
     return logger_free.mapInPandas(parse, schema)
 
 
+RECORDS = T.StructType([T.StructField("table", T.StringType()), T.StructField("fullrow", T.ArrayType(T.StringType())), T.StructField("_src", SOURCE_TYPE), T.StructField("_error", T.StringType())])
+
+
+def read_records(spark: SparkSession, paths: str | list[str], loggers: list[Logger], mode: str = "FAILFAST", typecheck: bool = True) -> DataFrame:
+    """table, fullrow, _src, _error of all rows of all tables, each file being read once.
+
+    With typecheck a cell that fails its declared type raises, or with mode
+    PERMISSIVE makes its row's _error.
+    """
+
+    def parse(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            rows = [(t.ident, full, src, error) for p, c in zip(batch["path"], batch["content"], strict=True) for t, full, src, error in records_of([p], c, loggers, mode)]
+            yield pd.DataFrame(rows, columns=RECORDS.names)
+
+    given = [paths] if isinstance(paths, str) else list(paths)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(given).select("path", "content")
+    out = files.mapInPandas(parse, RECORDS)
+    if not typecheck:
+        return out
+    wrong = F.lit(None).cast("string")
+    for t in (t for x in loggers for t in x.tables.values()):
+        cells = [F.when(F.col("fullrow")[i].isNotNull() & ~c.type.check(F.col("fullrow")[i]), F.concat(F.lit(f"{c.name} is no {c.type!r}: "), F.col("fullrow")[i])) for i, c in enumerate(t.columns) if c.type]
+        if cells:
+            wrong = F.when(F.col("table") == t.ident, F.coalesce(*cells, wrong)).otherwise(wrong)
+    if mode == "PERMISSIVE":
+        return out.withColumn("_error", F.coalesce("_error", wrong))
+    place = F.concat(F.element_at("_src.files", -1), F.lit(":"), F.col("_src.line").cast("string"), F.lit(": "))
+    return out.withColumn("_error", F.when(wrong.isNotNull(), F.raise_error(F.concat(place, wrong)).cast("string")).otherwise(F.col("_error")))
+
+
+def table_records(records: DataFrame, table: Table) -> DataFrame:
+    """The rows of one table of read_records(), with its columns."""
+    own = records.filter(F.col("table") == table.ident)
+    return own.select(*(F.col("fullrow")[i].alias(c.name) for i, c in enumerate(table.columns)), "_src", "_error")
+
+
 def write_rows(table: Table, rows: Iterable[tuple]) -> str:
     """A file of the table's layout with all columns, as text."""
     out = io.StringIO()
@@ -219,18 +273,22 @@ def write_rows(table: Table, rows: Iterable[tuple]) -> str:
     return out.getvalue()
 
 
-def merge_environments(df: DataFrame, separator: str = "|") -> DataFrame:
-    """One row: each environment field's distinct values, sorted and joined."""
-    return df.agg(*(F.array_join(F.array_sort(F.collect_set(k)), separator).alias(k) for k in ENVIRONMENT))
+def merge_environments(df: DataFrame, separator: str = "|", fields: Iterable[str] = ENVIRONMENT, keys: Iterable[str] = ()) -> DataFrame:
+    """Each environment field's distinct values, sorted and joined: one row, or one for each of the keys."""
+    return df.groupBy(*keys).agg(*(F.array_join(F.array_sort(F.collect_set(k)), separator).alias(k) for k in fields))
 
 
 def inferred_frame(spark: SparkSession, path: str, csv_names: bool = True) -> DataFrame:
-    """A file with inferred types, for exploring; its first column must be TIMESTAMP. NAN is missing."""
-    with open(path, encoding="ascii", newline="") as f:
-        _, columns = read_header(csv.reader(f, strict=True))
-        lines = list(f)
+    """A file with inferred types, for exploring; its first column must be TIMESTAMP. NAN is missing.
+
+    The header alone is read here; the rows are read by the tasks.
+    """
+    with open_file(path) as f:
+        reader = io.TextIOWrapper(io.BufferedReader(f) if not isinstance(f, io.BufferedIOBase) else f, encoding="ascii", newline="")
+        head = [next(reader, "") for _ in range(4)]
+    _, columns = read_header(csv.reader(iter(head), strict=True))
     if columns[0].name != "TIMESTAMP":
         raise Toa5Error("the first column is not TIMESTAMP")
     names = [c.csv if csv_names else c.name for c in columns]
-    body = spark.createDataFrame([(x.rstrip("\r\n"),) for x in lines], "value string")
+    body = spark.read.text(path).filter(~F.col("value").isin([x.rstrip("\r\n") for x in head]))
     return spark.read.csv(body.rdd.map(lambda r: r[0]), inferSchema=True, nullValue="NAN", nanValue="NAN").toDF(*names)

@@ -1,0 +1,200 @@
+"""Checksums of real files: listing, hashing, matching, validating; audits of trees and archives; path functions."""
+
+import hashlib
+import io
+import os
+import random
+import tarfile
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridmill.__main__ import main
+from gridmill.functions import filenames, scalars
+from gridmill.operators import checksum
+from gridmill.sources import shared, trees
+
+
+def put(folder, files):
+    for name, content in files.items():
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(content)
+
+
+@pytest.fixture
+def tree(tmp_path):
+    put(tmp_path / "one", {"p.txt": "first", "q/r.txt": "second", "q/s.txt": "third"})
+    put(tmp_path / "two", {"p.txt": "other", "t.txt": "fourth"})
+    os.symlink("p.txt", tmp_path / "two/link")
+    os.mkfifo(tmp_path / "two/pipe")
+    return tmp_path
+
+
+def named(df, root):
+    return sorted((os.path.relpath(r.fn, root), r.code) for r in df.collect())
+
+
+def test_listing_many_paths(spark, tree):
+    one, two = str(tree / "one"), str(tree / "two")
+    want = [("one/p.txt", "NONE"), ("one/q/r.txt", "NONE"), ("one/q/s.txt", "NONE")]
+    assert named(trees.list_hashable(spark, [one, one + "/q", one + "/q/r.txt", one + "/"]), tree) == want
+    both = [*want, ("two/link", "SKIP"), ("two/p.txt", "NONE"), ("two/pipe", "SKIP"), ("two/t.txt", "NONE")]
+    assert named(trees.list_hashable(spark, [one, two]), tree) == both
+    assert ("one/q", "SKIP") in named(trees.list_hashable(spark, [one], report_dirs=True), tree)
+    with pytest.raises(Exception, match="none"):
+        trees.list_hashable(spark, [one, str(tree / "none")]).collect()
+
+
+def test_a_wide_tree_is_split(tmp_path):
+    put(tmp_path, {f"d{i}/e{j}/f.txt": "x" for i in range(9) for j in range(9)})
+    parts = trees.split_tree([str(tmp_path)])
+    listed = [x for entries, folders in parts for x in trees.list_entries(entries + [y for f in folders for y in trees.below(f)])]
+    assert len(listed) == len({x[0] for x in listed}) == 81 and sum(bool(f) for _, f in parts) >= trees.TREE_PARTS
+
+
+def test_hash_files(spark, tree):
+    listed = trees.list_hashable(spark, [str(tree / "two")])
+    rows = {os.path.basename(r.origfn): r for r in checksum.hash_files(listed, "sha1").collect()}
+    assert rows["t.txt"].hsh == hashlib.sha1(b"fourth").hexdigest() and rows["t.txt"].valid and rows["t.txt"].hashed.endswith("two/t.txt")
+    assert rows["link"].hsh is None and rows["pipe"].code == "SKIP"
+    # What is valid by the same algorithm is not read again; by another one it is.
+    done = spark.createDataFrame([("/gone", "gone", "SUMOK", "ab" * 20, True)], "fn string, origfn string, code string, hsh string, valid boolean")
+    assert checksum.hash_files(done, "sha1").first().hsh == "ab" * 20
+    with pytest.raises(Exception, match="gone"):
+        checksum.hash_files(done, "md5").collect()
+    wrong = spark.createDataFrame([("/x", "x", "MISSING")], "fn string, origfn string, code string")
+    with pytest.raises(Exception, match="cannot hash"):
+        checksum.hash_files(wrong).collect()
+
+
+def test_validate_and_rehash(spark, tree):
+    good, bad = str(tree / "one/p.txt"), str(tree / "two/p.txt")
+    h = hashlib.md5(b"first").hexdigest()
+    entries = spark.createDataFrame([(good, h.upper(), None), (bad, h, None), ("/gone", h, True)], "fn string, hsh string, valid boolean")
+    soft = {r.fn: (r.valid, r.got) for r in checksum.validate_files(entries, fail_soft=True).collect()}
+    assert soft == {good: (True, h), bad: (False, hashlib.md5(b"other").hexdigest()), "/gone": (True, h)}
+    with pytest.raises(Exception, match="failed to validate"):
+        checksum.validate_files(entries).collect()
+    with pytest.raises(Exception, match="gone"):
+        checksum.validate_files(entries, force=True, fail_soft=True).collect()
+    own = entries.filter("fn <> '/gone'")
+    assert {r.fn: r.hsh for r in checksum.rehash(own).collect()}[bad] == hashlib.md5(b"other").hexdigest()
+    assert {r.fn: r.hsh for r in checksum.rehash(own, "sha384").collect()}[good] == hashlib.sha384(b"first").hexdigest()
+
+
+@pytest.mark.parametrize("algorithm", list(checksum.ALGORITHMS.values()))
+def test_files_longer_than_a_part(tmp_path, algorithm):
+    data = random.Random(1).randbytes((1 << 21) + 17)
+    (tmp_path / "big").write_bytes(data)
+    want = getattr(hashlib, algorithm)(data).hexdigest()
+    assert checksum._file_digest(str(tmp_path / "big"), algorithm) == want
+    assert checksum._file_digest(f"file://{tmp_path}/big", algorithm) == want
+
+
+def test_match_files(spark, tree):
+    root = str(tree)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    lines = [("one/p.txt", b"first"), ("one/../one/q/r.txt", b"second"), (f"{root}/one/q/s.txt", b"stale"), ("two/gone", b"x")]
+    sums = spark.createDataFrame([(i, fn, sha(x)) for i, (fn, x) in enumerate(lines)], "ord int, fn string, hsh string")
+    got = named(checksum.check_hashes(checksum.match_files(spark, sums, [f"{root}/one", f"{root}/two"])), tree)
+    want = [("one/p.txt", "SUMOK"), ("one/q/r.txt", "SUMOK"), ("one/q/s.txt", "SUMMISMATCH"), ("two/gone", "MISSING"), ("two/link", "SKIP"), ("two/p.txt", "NOSUM"), ("two/pipe", "SKIP"), ("two/t.txt", "NOSUM")]
+    assert got == want
+    by_name = checksum.match_files(spark, sums.filter("ord = 0"), [root], ignore_path=True)
+    assert sorted(r.code for r in by_name.collect() if r.fn.endswith("p.txt")) == ["DUPEFN", "UNKNOWN"]
+    with pytest.raises(ValueError):
+        checksum.match_files(spark, sums, [])
+
+
+def test_a_name_that_very_many_files_share(spark):
+    files = spark.range(3000).select(F.col("id").alias("ord"), F.concat(F.lit("/d"), "id", F.lit("/index.html")).alias("fn"), F.lit("NONE").alias("code"), F.lit(None).cast("string").alias("msg"))
+    got = checksum.reconcile(spark.createDataFrame([], "ord int, fn string, hsh string"), files, ignore_path=True).groupBy("code").count().collect()
+    assert {r.code: r["count"] for r in got} == {"DUPEFN": 2999, "NOSUM": 1}
+
+
+def test_orders_are_stable(spark, tmp_path):
+    rows = [(0, "b", b"1"), (1, "a", b"2"), (2, "c", b"1"), (3, "a.txt", b"3"), (4, "a/b", b"4")]
+    df = spark.createDataFrame(rows, "ord int, fn string, content binary").repartition(3)
+    names = lambda sort: [r.value.rpartition("*")[2] for r in checksum.generate_manifest(df, "md5", sort).collect()]
+    digests = {r[1]: hashlib.md5(r[2]).hexdigest() for r in rows}
+    assert names("BY_HASH") == sorted(digests, key=lambda x: digests[x])
+    assert names("BY_FILE") == ["a", "a.txt", "a/b", "b", "c"] and names("BY_PATH") == ["a", "a/b", "a.txt", "b", "c"]
+    n = checksum.write_manifest(checksum.generate_manifest(df, "md5", "BY_FILE"), str(tmp_path / "sums"))
+    assert n == 5 and (tmp_path / "sums").read_text().splitlines()[0] == f"{digests['a']} *a"
+    with pytest.raises(FileExistsError):
+        checksum.write_manifest(df.select(F.lit("x").alias("value")), str(tmp_path / "sums"))
+
+
+def test_places_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(checksum, "LOOKED_AT", 2000)
+    r = random.Random(4)
+    rows = [("a/very/long/common/prefix/" + str(r.randrange(9000)), i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "fn string, place int").repartition(5)
+    got = [(x.fn, x.place) for x in checksum.with_ordinal(df, ["fn", "place"]).orderBy("ordinal").collect()]
+    assert got == sorted(rows)
+
+
+def test_audit(spark, tmp_path):
+    put(tmp_path / "t", {"ok.txt": "", "Straße.txt": "", "con": "", "Same.txt": "", "x/✓.md": ""})
+    put(tmp_path / "t", {"same.txt": ""})
+    os.symlink("ok.txt", tmp_path / "t/link")
+    os.mkfifo(tmp_path / "t/pipe")
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("nul/deep/a.txt", "hi")
+        z.writestr("A.txt", "")
+        z.writestr("a.TXT", "")
+    with tarfile.open(tmp_path / "t/pack.tgz", "w:gz") as t:
+        info = tarfile.TarInfo("in.zip")
+        info.size = len(inner.getvalue())
+        t.addfile(info, io.BytesIO(inner.getvalue()))
+        info = tarfile.TarInfo("soft")
+        info.type, info.linkname = tarfile.SYMTYPE, "in.zip"
+        t.addfile(info)
+
+    def problems(**options):
+        found = filenames.audit_tree(spark, [str(tmp_path / "t")], **options).collect()
+        return sorted((" -> ".join(os.path.relpath(n, tmp_path / "t") if n.startswith("/") else n for n in r.names), r.problem.partition(":")[0]) for r in found)
+
+    own = [("Straße.txt", "characters"), ("con", "bad Windows name"), ("link", "symlink"), ("pipe", "FIFO"), ("same.txt", "case collision"), ("x/✓.md", "characters")]
+    packed = [("pack.tgz -> in.zip -> a.TXT", "case collision"), ("pack.tgz -> in.zip -> nul/deep/a.txt", "bad Windows name"), ("pack.tgz -> soft", "symlink")]
+    assert problems() == sorted(own + packed)
+    assert problems(ignore_compressed=True) == own
+    assert problems(ignore_compressed=True, ignore_symlinks=True, allowed=filenames.GERMAN) == [x for x in own if x[0] not in ("link", "Straße.txt")]
+
+
+def test_presets():
+    assert {"ẞ", "É", "é"} <= set(filenames.GERMAN) and not {"Æ", "æ"} & set(filenames.FRENCH) and {"ý", "Ý"} <= set(filenames.SPANISH) and "¿" not in filenames.SPANISH
+
+
+def test_command_line(spark, tree, capsys):
+    one, two, sums = str(tree / "one"), str(tree / "two"), str(tree / "sums")
+    assert main(["manifest", one, two, "--algorithm", "md5", "--sort", "BY_PATH", "-o", sums]) == 0 and "5 digests" in capsys.readouterr().err
+    assert main(["verify", sums, one, two]) == 0
+    (tree / "one/p.txt").write_text("changed")
+    assert main(["verify", sums, one, two]) == 1 and "SUMMISMATCH" in capsys.readouterr().out
+    assert main(["names", two, "-L"]) == 1 and "FIFO" in capsys.readouterr().out
+    (tree / "blank").write_text("\t12  \n")
+    assert main(["infer", str(tree / "blank")]) == 0 and capsys.readouterr().out == "NonNegInt\n"
+
+
+def test_paths(spark, tmp_path):
+    put(tmp_path, {"d/e/f": "x"})
+    assert scalars.common_parent([f"{tmp_path}/d/e/f"]) == f"{tmp_path}/d/e"
+    assert scalars.common_parent(["/a/b", "/a/b/c"]) == "/a/b"
+    cases = {"a//b/./c/../d": "a/b/d", "/../x/..": "/", "../../a": "../../a", "": ".", "/a/b/": "/a/b"}
+    df = spark.createDataFrame(list(cases.items()), "p string, want string").select("want", scalars.normalized(F.col("p")).alias("got"))
+    assert all(r.got == r.want for r in df.collect())
+    pairs = [("/a/b/c", "/a/b", "c"), ("/a/b", "/a/b", "."), ("/a/bc", "/a/b", None), ("/x", "/", "x")]
+    df = spark.createDataFrame(pairs, "p string, of string, want string").select("want", scalars.relative_to(F.col("p"), F.col("of")).alias("got"))
+    assert all(r.got == r.want for r in df.collect())
+
+
+def test_shared_folder(spark, tmp_path):
+    shared.write_file(f"{tmp_path}/a/b", b"1")
+    shared.write_file(f"{tmp_path}/a/b", b"2")
+    assert os.listdir(tmp_path / "a") == ["b"] and (tmp_path / "a/b").read_bytes() == b"2"
+    assert shared.plain("file:///x/y") == "/x/y"
+    with pytest.raises(ValueError):
+        shared.plain("hdfs://x/y")
+    assert shared.kept(spark.range(3), "three").count() == 3

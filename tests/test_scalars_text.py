@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmill.functions import filenames, scalars, text
+from gridmill.functions.sql import register_sql
 
 
 def values(spark, expr, items, kind="string"):
@@ -37,7 +38,7 @@ def test_names(spark):
     for bad in ("a\0b", "a\ud800"):
         with pytest.raises(ValueError):
             scalars.quote(bad)
-    scalars.register_sql(spark)
+    register_sql(spark)
     assert spark.sql("select epoch_text(0), grapheme_clusters('éx'), path_basename('a/b')").first()[:] == ("1970-01-01 00:00:00Z", ["é", "x"], "b")
 
 
