@@ -196,13 +196,14 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
         sizes = rows.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         last = deal == DEALS - 1
         sizes = staged(sizes, "simhash-groups")
-        small = rows.join(sizes if last else sizes.filter(F.col("size") <= group), ["mask", "part"], "left_semi")
+        # Sizes grow with the fingerprints, so they are never sent to all executors.
+        small = rows.join((sizes if last else sizes.filter(F.col("size") <= group)).hint("merge"), ["mask", "part"], "left_semi")
         found = small.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInPandas(_search, "a long, b long")
         out = found if out is None else out.unionByName(found)
         if last or sizes.filter(F.col("size") > group).isEmpty():
             break
         finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(t)) for t in thirds(m)]))])
-        hot = rows.join(sizes.filter(F.col("size") > group), ["mask", "part"], "left_semi")
+        hot = rows.join(sizes.filter(F.col("size") > group).hint("merge"), ["mask", "part"], "left_semi")
         rows = hot.select("fp", F.explode(finer[F.col("mask")]).alias("mask")).distinct()
         masks = sorted({t for m in masks for t in thirds(m)})  # different ways can lead to one mask
     return out
@@ -216,11 +217,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: each node's larger neighbours join its smallest; small star: the others do.
         nodes = both(edges)
         least = nodes.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = nodes.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = nodes.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = staged(large.filter("a <> b").distinct(), "simhash-links")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        small = down.join(least.hint("merge"), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         new = staged(small.filter("a <> b").distinct(), "simhash-links")
         # The contraction is done when every node has one link, to a node without smaller ones.
         tails = new.select(F.col("a").alias("tail")).distinct()
@@ -240,8 +241,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = staged(fingerprints(docs), "simhash-prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "simhash-roots")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = rooted.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(labels.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
