@@ -29,8 +29,8 @@ from .common import as_bytes, blocks, text_bytes
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Bytes of text dealt to one bucket, about.
 BUCKET_BYTES = 6_000_000
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 600_000
+#: Words, and bytes of words and their ids, that a worker keeps; beyond either the table starts anew.
+KEPT_WORDS, KEPT_BYTES = 600_000, 48_000_000
 END_ID = 1
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -50,13 +50,11 @@ class _WordIds(dict):
         tokenizer, self.specials = load(path)
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
-        self.whole = tokenizer.encode
+        self.whole, self.held = tokenizer.encode, 0
         self.merge, self.short = merger(path)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
         short = self.short
         if word.isalpha():
             out = b"".join([short[r] for r in self.merge(word.lower() + END)])
@@ -66,7 +64,13 @@ class _WordIds(dict):
             text = word.decode()
             text = text.lower() if word.isascii() else "".join([c.lower() for c in normalize("NFC", text)])
             out = b"".join([short[r] for part in self.split(text) for r in self.merge(part.encode() + END)])
-        self[word] = out
+        size = len(word) + len(out)
+        if len(self) >= KEPT_WORDS or self.held + size > KEPT_BYTES:
+            self.clear()
+            self.held = 0
+        if size <= KEPT_BYTES // 8:
+            self[word] = out
+            self.held += size
         return out
 
 

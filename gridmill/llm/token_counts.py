@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from .bpe_pieces import WIDE_SPACE, byte_alphabet, load, pieces
 from .common import as_bytes, blocks
 
-#: Pieces whose counts a worker keeps; beyond it the store starts anew.
-KEPT_PIECES = 500_000
+#: Pieces, and bytes of pieces, whose counts a worker keeps; beyond either the store starts anew.
+KEPT_PIECES, KEPT_BYTES = 500_000, 32_000_000
 _SPACE_START = re.compile(f"[\t-\r {WIDE_SPACE}]+")
 _SPACE_END = re.compile(f"[\t-\r {WIDE_SPACE}]$(?!\n)")
 
@@ -57,6 +57,8 @@ class PrefixCounter:
             self.halves.append(pair)
             self.merged[pair] = made
             self.rank.setdefault(a + b, made)
+        if len(self.halves) > 1 << 16:
+            raise ValueError("ranks beyond 16 bits")  # two of them share a key below
         # All entries that end at a place of a pre-token, longest first; a byte is a Latin-1 character.
         found = ahocorasick.Automaton()
         for entry, t in self.rank.items():
@@ -67,6 +69,7 @@ class PrefixCounter:
         self.stands: dict[int, bool] = {}
         self.known: dict[bytes, list[int] | bytes] = {}
         self.parted: dict[str, list[int] | bytes] = {}
+        self.held = {"known": 0, "parted": 0}
         self.bytes_of = {t: b for b, t in self.rank.items()}
         self.entire: dict[int, bool] = {}
 
@@ -138,6 +141,16 @@ class PrefixCounter:
             counts = [1, 2, counts[2]]  # an unfinished contraction is a mark and a letter
         return bytes(counts) if counts[-1] < 256 else counts
 
+    def _keep(self, name: str, key: bytes | str, counts: list[int] | bytes) -> None:
+        """Keep counts in a store, which starts anew where it would hold too many pieces or bytes. A count in a list takes eight."""
+        store, size = getattr(self, name), len(key) + len(counts) * (1 if isinstance(counts, bytes) else 8)
+        if len(store) >= KEPT_PIECES or self.held[name] + size > KEPT_BYTES:
+            store.clear()
+            self.held[name] = 0
+        if size <= KEPT_BYTES // 8:
+            store[key] = counts
+            self.held[name] += size
+
     def piece(self, data: bytes) -> list[int] | bytes:
         """Token counts of the piece's prefixes, one for each character end."""
         parts = self.split(data.decode())
@@ -149,15 +162,11 @@ class PrefixCounter:
             for part in parts:
                 if (counts := parted.get(part)) is None:
                     counts = self._part(part)
-                    if len(parted) >= KEPT_PIECES:
-                        parted.clear()
-                    parted[part] = counts
+                    self._keep("parted", part, counts)
                 out.extend([before + n for n in counts])
                 before = out[-1]
             out = bytes(out) if before < 256 else out
-        if len(self.known) >= KEPT_PIECES:
-            self.known.clear()
-        self.known[data] = out
+        self._keep("known", data, out)
         return out
 
 

@@ -193,3 +193,16 @@ def test_costs_are_balanced():
         cost[q] += packing.LINEAR * n + packing.QUADRATIC * n * n
     full = sorted(cost.values())[1:]
     assert full[-1] < 1.25 * full[0]
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch, by_byte):
+    monkeypatch.setattr(token_counts, "KEPT_BYTES", 4000)
+    monkeypatch.setattr(packing, "KEPT_BYTES", 4000)
+    counter, words = token_counts.PrefixCounter(BYTE), packing._WordIds(WORD)
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcXYZ019+/") for _ in range(n)) for n in (3000, 200, 400, 300, 350, 250)] * 2
+    for t in texts:
+        assert counter.piece(t.encode())[-1] == len(ids(by_byte, t))
+        assert words[t.encode()]
+        assert all(x <= 4000 for x in counter.held.values()) and words.held <= 4000
+    assert len(counter.known) < 6 and len(words) < 6
