@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,31 +22,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="staging-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder all executors share: the session's spark.checkpoint.dir, or a folder in its warehouse where it names none (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.staging"
     return folder.rstrip("/")
 
 
-def _remove(spark_ref, path: str) -> None:
-    spark = spark_ref()
+def _remove(store, target) -> None:
     try:
-        jvm = spark._jvm
-        hadoop = spark._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(hadoop).delete(target, True)
-    except Exception:  # the session has ended; the folder goes with it
+        store.delete(target, True)
+    except (Py4JError, OSError):  # the JVM has gone before
         return
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. Removed at exit, when the session may have ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, weakref.ref(spark), path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_remove, target.getFileSystem(spark._jsc.hadoopConfiguration()), target)
     return spark.read.schema(df.schema).parquet(path)
 
 
