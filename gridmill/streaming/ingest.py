@@ -48,3 +48,18 @@ def gap_check(stream: DataFrame, series: str, ts: str, ordinal: str, interval: I
         yield pd.DataFrame({"series": key[0], "ordinal": rows["ordinal"], "quality": out})
 
     return ready.groupBy("series").applyInPandasWithState(step, "series string, ordinal long, quality string", "due string", "append", GroupStateTimeout.NoTimeout)
+
+
+def interval_rollup(stream: DataFrame, series: str, ts: str, value: str, interval: Interval, late: str = "1 hour") -> DataFrame:
+    """series, slot, n, mean, least, most of each grid interval; a slot is given out once no row as late as `late` can reach it.
+
+    Rows that come later than that are left out, as the watermark says. Months
+    have no fixed length, so they have no window here.
+    """
+    if interval in (Interval.UNDEF, Interval.MONTH1):
+        raise ValueError(f"{interval} has no fixed length")
+    # Weeks start on a Monday; the epoch was a Thursday.
+    start = "4 days" if interval is Interval.WEEK1 else "0 seconds"
+    slot = F.window(F.col(ts), interval.value.removeprefix("INTERVAL ").lower(), None, start)
+    found = stream.withWatermark(ts, late).groupBy(F.col(series).alias("series"), slot.alias("w")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return found.select("series", F.col("w.start").alias("slot"), "n", "mean", "least", "most")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from gridmill.functions.timeseries import Interval
-from gridmill.streaming.ingest import gap_check, ingest
+from gridmill.streaming.ingest import gap_check, ingest, interval_rollup
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +34,24 @@ def test_ingest_stream(spark, tmp_path):
     spark.sql("DROP TABLE streamed")
 
 
+def test_rollup_stream(spark, tmp_path):
+    def rollup(i, rows):
+        spark.createDataFrame(rows, "s string, t string, x double").select("s", F.col("t").cast("timestamp").alias("t"), "x").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("s string, t timestamp, x double").parquet(str(tmp_path / "in"))
+        q = interval_rollup(stream, "s", "t", "x", Interval.HOUR1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted((r.s, r.slot.strftime("%d %H:%M"), r.n, r.mean) for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("series").alias("s"), "slot", "n", "mean").collect())
+
+    day = "2021-01-01 "
+    assert rollup(0, [("a", day + "00:10:00", 1.0), ("a", day + "00:50:00", 3.0), ("b", day + "00:59:59", 5.0)]) == []
+    closed = rollup(1, [("a", day + "03:00:00", 9.0)])
+    assert closed == [("a", "01 00:00", 2, 2.0), ("b", "01 00:00", 1, 5.0)]
+    assert rollup(2, [("a", day + "00:20:00", 100.0)]) == closed  # too late
+    with pytest.raises(ValueError):
+        interval_rollup(spark.range(1), "s", "t", "x", Interval.MONTH1)
+
+
 def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert out.columns == ["user_id", "quality", "n"] and out.count() > 0
