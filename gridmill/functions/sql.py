@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import quality, scalars, text
-from .types import CANDIDATES, Num, _facts
+from .types import CANDIDATES, Num, _facts, _number
 
 
 def sql_of(spark: SparkSession, column: Column, arguments: str) -> str:
@@ -23,7 +23,7 @@ _DURATION = r"""CASE WHEN x IS NULL THEN NULL WHEN x RLIKE r'\A\s+\z' THEN 0
 
 def _inference(spark: SparkSession) -> str:
     """The narrowest type of all values of an array: as infer_type() finds it for a column."""
-    facts = {k: sql_of(spark, c, "v STRING") for k, c in _facts(F.col("v")).items()}
+    facts = {k: sql_of(spark, c, "v STRING") for k, c in _facts(F.col("v"), _number(F.col("v"))).items()}
     largest = lambda e: f"array_max(transform(xs, v -> {e}))"
     scale, digits = largest(facts["scale"]), largest(f"({facts['whole']}) + ({facts['scale']})")
     named = f"CASE WHEN {scale} > 0 THEN concat('Num(', {digits}, ',', {scale}, ')') ELSE concat('Num(', {digits}, ')') END"

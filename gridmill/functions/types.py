@@ -206,12 +206,23 @@ def parse_type(name: str) -> RefType:
 CANDIDATES: tuple[RefType, ...] = (OnlyNan(), NonNegInt(), BigInt(), TimestampNoTz(), TimestampWithTz(), Num())
 
 
-def _facts(column: Column) -> dict[str, Column]:
-    """What inference needs of one value: which candidates fit, and a number's digits."""
-    number = F.when(Num().accepts(column), column)
+def _number(column: Column) -> Column:
+    """The value if it is a number; others are turned away by their first character."""
+    return F.when(F.substring(column, 1, 1).isin(*"0123456789-.") & Num().accepts(column), column)
+
+
+def _facts(column: Column, number: Column) -> dict[str, Column]:
+    """What inference needs of one value: which candidates fit, and a number's digits. number: the value's _number().
+
+    Whole numbers and times are told by cheap tests first: one by being a
+    number, the other by length and first dash, so few values meet a pattern.
+    """
+    dated = (F.length(column) >= 19) & (F.substring(column, 5, 1) == "-")
+    likely = {NonNegInt: number.isNotNull() & (F.length(column) <= 10), BigInt: number.isNotNull() & (F.length(column) <= 20), TimestampNoTz: dated, TimestampWithTz: dated}
     whole, fraction = F.split_part(number, F.lit("."), F.lit(1)), F.split_part(number, F.lit("."), F.lit(2))
     sizes = {"scale": F.length(fraction), "whole": F.length(F.ltrim(whole, F.lit("-")))}
-    return {f"fits_{i}": t.check(column) for i, t in enumerate(CANDIDATES)} | sizes
+    fits = lambda t: number.isNotNull() if isinstance(t, Num) else F.when(likely[type(t)], F.coalesce(t.accepts(column), F.lit(False))).otherwise(False) if type(t) in likely else F.lit(False)
+    return {f"fits_{i}": F.coalesce(is_nan(column), F.lit(False)) | fits(t) for i, t in enumerate(CANDIDATES)} | sizes
 
 
 def _inferred(safe: bool) -> Column:
@@ -232,13 +243,15 @@ def infer_type(df: DataFrame, column: str, safe: bool = False) -> DataFrame:
     fraction digits, each taken by itself; with safe, the precision holds the
     longest integer and fraction parts together.
     """
-    return df.select(*(c.alias(n) for n, c in _facts(F.col(column).cast("string")).items())).agg(_inferred(safe).alias("reftype"))
+    value = df.select(F.col(column).cast("string").alias("value")).withColumn("number", _number(F.col("value")))
+    return value.select(*(c.alias(n) for n, c in _facts(F.col("value"), F.col("number")).items())).agg(_inferred(safe).alias("reftype"))
 
 
 def infer_types(df: DataFrame, safe: bool = False) -> DataFrame:
     """name, reftype of every column, in one pass; cells become rows, and each task sends one row a column."""
     cells = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in df.columns))
-    facts = df.select(F.inline(cells)).select("name", *(c.alias(n) for n, c in _facts(F.col("value")).items()))
+    value = df.select(F.inline(cells)).withColumn("number", _number(F.col("value")))
+    facts = value.select("name", *(c.alias(n) for n, c in _facts(F.col("value"), F.col("number")).items()))
     return facts.groupBy("name").agg(_inferred(safe).alias("reftype"))
 
 
