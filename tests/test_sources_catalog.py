@@ -15,9 +15,9 @@ from gridmill.sources import toa5, trees
 COLUMNS = [
     {"name": "TIMESTAMP", "unit": "TS", "type": "TimestampNoTz"},
     {"name": "RECORD", "unit": "RN", "type": "NonNegInt"},
-    {"name": "BattV_Min", "unit": "Volts", "prc": "Min", "type": "Num(4,2)"},
-    {"name": "AirT(42)", "unit": "Deg C", "prc": "Smp", "type": "Num(5,2)", "var": "abc", "sens": "s1"},
-    {"name": "AirT_Avg", "unit": "Deg C", "prc": "Avg", "type": "Num(5,2)", "var": "def", "sens": "s1"},
+    {"name": "Supply_Min", "unit": "Volts", "prc": "Min", "type": "Num(4,2)"},
+    {"name": "Mast(42)", "unit": "Deg C", "prc": "Smp", "type": "Num(5,2)", "var": "north", "sens": "s1"},
+    {"name": "Dew_Avg", "unit": "Deg C", "prc": "Avg", "type": "Num(5,2)", "var": "south", "sens": "s1"},
 ]
 
 
@@ -26,12 +26,12 @@ def document(**changes):
         "logger_name": "Test",
         "tz": "UTC",
         "toa5_env_match": {"station_name": "Test", "logger_model": "CR1"},
-        "variants": ["abc", "def"],
+        "variants": ["north", "south"],
         "sensors": {"s1": "a sensor"},
-        "min_datetime": "2021-01-01 00:00:00",
-        "skip_records": [{"time": "2021-06-19 19:00:00Z", "why": "bad"}],
+        "min_datetime": "2023-01-01 00:00:00",
+        "skip_records": [{"time": "2023-05-02 07:00:00Z", "why": "bad"}],
         "ignore_tables": ["Other"],
-        "tables": {"Hourly": {"interval": "1hour", "columns": COLUMNS, "mappings": {"Air": {"type": "view", "map": [{"old": {"name": "AirT_Avg", "unit": "Deg C", "prc": "Avg"}, "new": {"name": "Air"}}, {"old": {"name": "TIMESTAMP", "unit": "TS"}, "new": {"name": "When"}}]}}}},
+        "tables": {"Hourly": {"interval": "1hour", "columns": COLUMNS, "mappings": {"Air": {"type": "view", "map": [{"old": {"name": "Dew_Avg", "unit": "Deg C", "prc": "Avg"}, "new": {"name": "Air"}}, {"old": {"name": "TIMESTAMP", "unit": "TS"}, "new": {"name": "When"}}]}}}},
     }
     return base | changes
 
@@ -41,8 +41,8 @@ def test_load():
     t = logger.tables["Hourly"]
     assert list(t.layouts.values()) == [(0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 2, 3, 4)]
     assert t.prikey == 0 and t.sql == "test_hourly" and t.ident == "Test/Hourly" and t.view_indexes("Air") == (4, 0)
-    assert [c.header.csv for c in t.columns] == ["TIMESTAMP", "RECORD", "BattV_Min[V]", "AirT(42)/Smp[°C]", "AirT_Avg[°C]"]
-    assert t.schema()["airt_42"].metadata == {"unit": "Deg C", "prc": "Smp", "reftype": "Num(5,2)", "sens": "s1"}
+    assert [c.header.csv for c in t.columns] == ["TIMESTAMP", "RECORD", "Supply_Min[V]", "Mast(42)/Smp[°C]", "Dew_Avg[°C]"]
+    assert t.schema()["mast_42"].metadata == {"unit": "Deg C", "prc": "Smp", "reftype": "Num(5,2)", "sens": "s1"}
     assert t.header_rows()[0] == ("TOA5", "Test", "CR1", None, None, None, None, "Hourly")
 
 
@@ -55,19 +55,19 @@ BROKEN = {
     "unknown key": {"foo": 1},
     "no match": {"toa5_env_match": {}},
     "ignored": {"ignore_tables": ["Hourly"]},
-    "unused variant": {"variants": ["abc", "def", "ghi"]},
+    "unused variant": {"variants": ["north", "south", "west"]},
     "unused sensor": {"sensors": {"s1": "a", "s2": "b"}},
     "empty sensor": {"sensors": {"s1": " "}},
-    "unknown variant": {"variants": ["abc"]},
+    "unknown variant": {"variants": ["north"]},
     "key": {"tables": table(prikey=9)},
-    "no key": {"tables": table(columns=[{"name": "AA"}]), "variants": ["abc"], "sensors": {"s1": "a"}},
+    "no key": {"tables": table(columns=[{"name": "AA"}]), "variants": ["north"], "sensors": {"s1": "a"}},
     "twice": {"tables": table(columns=[*COLUMNS, {"name": "record"}])},
     "view": {"tables": table(mappings={"Air": {"type": "view", "map": [{"old": {"name": "Nope"}, "new": {"name": "Air"}}]}})},
-    "issue": {"tables": table(known_issues=[{"type": "bad", "cols": ["AirT(42)"], "when": {"time": "2021-06-22 00:00:00Z", "why": "x"}}])},
+    "issue": {"tables": table(known_issues=[{"type": "bad", "cols": ["Mast(42)"], "when": {"time": "2023-05-04 00:00:00Z", "why": "x"}}])},
     "type": {"tables": table(columns=[*COLUMNS, {"name": "XX", "type": "Foo"}])},
-    "gaps": {"known_gaps": [{"time": "2021-01-01", "end": "2021-01-05", "why": "a"}, {"time": "2021-01-02", "why": "b"}]},
-    "backwards": {"known_gaps": [{"time": "2021-01-05", "end": "2021-01-01", "why": "a"}]},
-    "no reason": {"known_gaps": [{"time": "2021-01-05", "why": " "}]},
+    "gaps": {"known_gaps": [{"time": "2023-04-01 00:00:00", "end": "2023-04-05 00:00:00", "why": "a"}, {"time": "2023-04-02 00:00:00", "why": "b"}]},
+    "backwards": {"known_gaps": [{"time": "2023-04-05 00:00:00", "end": "2023-04-01 00:00:00", "why": "a"}]},
+    "no reason": {"known_gaps": [{"time": "2023-04-05 00:00:00", "why": " "}]},
 }
 
 
@@ -80,7 +80,7 @@ def test_broken(what):
 def test_zones():
     doc = document(tz="-04:30")
     with pytest.warns(UserWarning, match="outside UTC"):
-        assert str(load_logger(doc).min_datetime) == "2021-01-01 00:00:00-04:30"
+        assert str(load_logger(doc).min_datetime) == "2023-01-01 00:00:00-04:30"
     del doc["tz"]
     with pytest.raises(CatalogError):
         load_logger(doc)
@@ -89,11 +89,11 @@ def test_zones():
 def test_ranges():
     r = lambda a, b=None: TimeRange.of({"time": a, "why": "w"} | ({"end": b} if b else {}))
     whole = r("open", "open")
-    assert r("2021-01-01 00:00:00Z").start in whole
-    assert str(r("2021-01-01 00:00:00Z", "2021-01-02 00:00:00Z")) == "TimeRange[2021-01-01T00:00:00Z to 2021-01-02T00:00:00Z because w]"
-    validate_ranges([r("2021-01-01 00:00:00Z", "2021-01-02 00:00:00Z"), r("2021-01-02 00:00:00Z", "2021-01-03 00:00:00Z")])
+    assert r("2023-01-01 00:00:00Z").start in whole
+    assert str(r("2023-01-01 00:00:00Z", "2021-01-02 00:00:00Z")) == "TimeRange[2021-01-01T00:00:00Z to 2021-01-02T00:00:00Z because w]"
+    validate_ranges([r("2023-01-01 00:00:00Z", "2021-01-02 00:00:00Z"), r("2021-01-02 00:00:00Z", "2021-01-03 00:00:00Z")])
     with pytest.raises(CatalogError):
-        TimeRange.of({"time": "2021-01-01 00:00:00", "why": "no zone"})
+        TimeRange.of({"time": "2023-01-01 00:00:00", "why": "no zone"})
 
 
 def test_collection():
@@ -105,8 +105,8 @@ def test_collection():
 
 
 ENV = '"TOA5","Test","CR1","1","os","prog","sig","Hourly"'
-ABC = '"TIMESTAMP","RECORD","BattV_Min","AirT(42)"\r\n"TS","RN","Volts","Deg C"\r\n"","","Min","Smp"'
-DEF = '"TIMESTAMP","RECORD","BattV_Min","AirT_Avg"\r\n"TS","RN","Volts","Deg C"\r\n"","","Min","Avg"'
+ABC = '"TIMESTAMP","RECORD","Supply_Min","Mast(42)"\r\n"TS","RN","Volts","Deg C"\r\n"","","Min","Smp"'
+DEF = '"TIMESTAMP","RECORD","Supply_Min","Dew_Avg"\r\n"TS","RN","Volts","Deg C"\r\n"","","Min","Avg"'
 
 
 def text(head, *rows, env=ENV):
@@ -115,8 +115,8 @@ def text(head, *rows, env=ENV):
 
 @pytest.fixture
 def folder(tmp_path):
-    (tmp_path / "a.dat").write_text(text(ABC, '"2021-06-18 11:00:00",1,13.1,20.5', '"2021-06-19 19:00:00",2,"NAN",21'))
-    (tmp_path / "b.dat").write_text(text(DEF, '"2021-06-18 12:00:00",3,13.2,22.25'))
+    (tmp_path / "a.dat").write_text(text(ABC, '"2023-05-01 11:00:00",1,13.1,20.5', '"2023-05-02 07:00:00",2,"NAN",21'))
+    (tmp_path / "b.dat").write_text(text(DEF, '"2023-05-01 12:00:00",3,13.2,22.25'))
     (tmp_path / "status.dat").write_text(text('"X"\r\n""\r\n""', "1", env=ENV.replace("Hourly", "Status")))
     (tmp_path / "notes.txt").write_text("hello")
     return tmp_path
@@ -130,8 +130,8 @@ def test_read(spark, folder):
     source = spark.read.format("toa5").option("catalog", json.dumps(document())).option("table", "Hourly").load(str(folder))
     for df in (source, toa5.read_toa5(spark, str(folder), logger, t)):
         rows = records.typed(df, t).orderBy("record").collect()
-        assert [(str(r.timestamp), r.record, r.battv_min and float(r.battv_min), r.airt_42 and float(r.airt_42), r.airt_avg and float(r.airt_avg)) for r in rows] == [
-            ("2021-06-18 11:00:00", 1, 13.1, 20.5, None), ("2021-06-19 19:00:00", 2, None, 21.0, None), ("2021-06-18 12:00:00", 3, 13.2, None, 22.25),
+        assert [(str(r.timestamp), r.record, r.supply_min and float(r.supply_min), r.mast_42 and float(r.mast_42), r.dew_avg and float(r.dew_avg)) for r in rows] == [
+            ("2023-05-01 11:00:00", 1, 13.1, 20.5, None), ("2023-05-02 07:00:00", 2, None, 21.0, None), ("2023-05-01 12:00:00", 3, 13.2, None, 22.25),
         ]
         assert records.violations(df, t).count() == 0
     first = source.orderBy("RECORD").select(records.source_text(F.col("_src")), "_src.line", "_src.env.logger_os").first()
@@ -141,7 +141,7 @@ def test_read(spark, folder):
     assert [f.dataType.simpleString() for f in records.typed_utc(source, t).schema] == ["timestamp_ntz", "int", "double", "double", "double"]
     assert toa5.merge_environments(source.select("_src.env.*")).first().table_name == "Hourly"
     frame = toa5.inferred_frame(spark, str(folder / "a.dat"))
-    assert frame.columns[2:] == ["BattV_Min[V]", "AirT(42)/Smp[°C]"] and frame.count() == 2
+    assert frame.columns[2:] == ["Supply_Min[V]", "Mast(42)/Smp[°C]"] and frame.count() == 2
 
 
 HEADS = {
@@ -171,7 +171,7 @@ def rows_of(data, **options):
 
 def test_bad_rows():
     for bad in ("1,2,3", "", '"2021,1,2,3', "ä,1,2,3"):
-        data = text(ABC, '"2021-06-18 11:00:00",1,13.1,20.5', bad)
+        data = text(ABC, '"2023-05-01 11:00:00",1,13.1,20.5', bad)
         with pytest.raises(toa5.RecordError):
             rows_of(data)
         got = rows_of(data, mode="PERMISSIVE")
@@ -190,8 +190,8 @@ def test_bad_rows():
 def test_write_and_read_again():
     logger = load_logger(document())
     t = logger.tables["Hourly"]
-    made = toa5.write_rows(t, [("2021-06-18 11:00:00", "1", "13.1", None, "2")])
-    assert [r[:5] for r in toa5.file_rows(["x.dat"], made.encode(), [logger], t)] == [("2021-06-18 11:00:00", "1", "13.1", "", "2")]
+    made = toa5.write_rows(t, [("2023-05-01 11:00:00", "1", "13.1", None, "2")])
+    assert [r[:5] for r in toa5.file_rows(["x.dat"], made.encode(), [logger], t)] == [("2023-05-01 11:00:00", "1", "13.1", "", "2")]
     assert Header.of({"name": "AA"}) == Header("AA")
 
 
