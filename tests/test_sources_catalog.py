@@ -90,8 +90,8 @@ def test_ranges():
     r = lambda a, b=None: TimeRange.of({"time": a, "why": "w"} | ({"end": b} if b else {}))
     whole = r("open", "open")
     assert r("2023-01-01 00:00:00Z").start in whole
-    assert str(r("2023-01-01 00:00:00Z", "2021-01-02 00:00:00Z")) == "TimeRange[2021-01-01T00:00:00Z to 2021-01-02T00:00:00Z because w]"
-    validate_ranges([r("2023-01-01 00:00:00Z", "2021-01-02 00:00:00Z"), r("2021-01-02 00:00:00Z", "2021-01-03 00:00:00Z")])
+    assert str(r("2023-01-01 00:00:00Z", "2023-01-02 00:00:00Z")) == "TimeRange[2023-01-01T00:00:00Z to 2023-01-02T00:00:00Z because w]"
+    validate_ranges([r("2023-01-01 00:00:00Z", "2023-01-02 00:00:00Z"), r("2023-01-02 00:00:00Z", "2023-01-03 00:00:00Z")])
     with pytest.raises(CatalogError):
         TimeRange.of({"time": "2023-01-01 00:00:00", "why": "no zone"})
 
@@ -105,8 +105,8 @@ def test_collection():
 
 
 ENV = '"TOA5","Test","CR1","1","os","prog","sig","Hourly"'
-ABC = '"TIMESTAMP","RECORD","Supply_Min","Mast(42)"\r\n"TS","RN","Volts","Deg C"\r\n"","","Min","Smp"'
-DEF = '"TIMESTAMP","RECORD","Supply_Min","Dew_Avg"\r\n"TS","RN","Volts","Deg C"\r\n"","","Min","Avg"'
+NORTH = '"TIMESTAMP","RECORD","Supply_Min","Mast(42)"\r\n"TS","RN","Volts","Deg C"\r\n"","","Min","Smp"'
+SOUTH = '"TIMESTAMP","RECORD","Supply_Min","Dew_Avg"\r\n"TS","RN","Volts","Deg C"\r\n"","","Min","Avg"'
 
 
 def text(head, *rows, env=ENV):
@@ -115,8 +115,8 @@ def text(head, *rows, env=ENV):
 
 @pytest.fixture
 def folder(tmp_path):
-    (tmp_path / "a.dat").write_text(text(ABC, '"2023-05-01 11:00:00",1,13.1,20.5', '"2023-05-02 07:00:00",2,"NAN",21'))
-    (tmp_path / "b.dat").write_text(text(DEF, '"2023-05-01 12:00:00",3,13.2,22.25'))
+    (tmp_path / "a.dat").write_text(text(NORTH, '"2023-05-01 11:00:00",1,13.1,20.5', '"2023-05-02 07:00:00",2,"NAN",21'))
+    (tmp_path / "b.dat").write_text(text(SOUTH, '"2023-05-01 12:00:00",3,13.2,22.25'))
     (tmp_path / "status.dat").write_text(text('"X"\r\n""\r\n""', "1", env=ENV.replace("Hourly", "Status")))
     (tmp_path / "notes.txt").write_text("hello")
     return tmp_path
@@ -147,8 +147,8 @@ def test_read(spark, folder):
 HEADS = {
     "empty": "",
     "blank": "\n\n\n",
-    "magic": text(ABC, env=ENV.replace("TOA5", "TOA6")),
-    "fields": text(ABC, env=ENV + ',"x"'),
+    "magic": text(NORTH, env=ENV.replace("TOA5", "TOA6")),
+    "fields": text(NORTH, env=ENV + ',"x"'),
     "quote": '"TOA5,"x\n',
     "names only": ENV + '\r\n"A","B"\r\n',
     "missing": ENV + '\r\n"A","B"\r\n"x"\r\n"",""\r\n',
@@ -171,7 +171,7 @@ def rows_of(data, **options):
 
 def test_bad_rows():
     for bad in ("1,2,3", "", '"2021,1,2,3', "ä,1,2,3"):
-        data = text(ABC, '"2023-05-01 11:00:00",1,13.1,20.5', bad)
+        data = text(NORTH, '"2023-05-01 11:00:00",1,13.1,20.5', bad)
         with pytest.raises(toa5.RecordError):
             rows_of(data)
         got = rows_of(data, mode="PERMISSIVE")
@@ -179,9 +179,9 @@ def test_bad_rows():
     with pytest.raises(toa5.NoVariantMatch):
         rows_of(text('"A"\r\n""\r\n""'))
     with pytest.raises(toa5.NoMetadataMatch):
-        rows_of(text(ABC, env=ENV.replace('"CR1"', '"CR2"')))
+        rows_of(text(NORTH, env=ENV.replace('"CR1"', '"CR2"')))
     with pytest.raises(toa5.NoTableMatch):
-        rows_of(text(ABC, env=ENV.replace("Hourly", "Nope")), skip_other_tables=False)
+        rows_of(text(NORTH, env=ENV.replace("Hourly", "Nope")), skip_other_tables=False)
     with pytest.raises(NotImplementedError):
         logger = load_logger(document())
         list(toa5.file_rows(["x.csv"], b"a,b", [logger], logger.tables["Hourly"]))
