@@ -24,6 +24,10 @@ def code_number(name: Column) -> Column:
     return F.element_at(F.create_map(*[x for i, c in enumerate(CODES) for x in (F.lit(c), F.lit(i))]), name)
 
 
+def code_name(number: Column) -> Column:
+    return F.try_element_at(F.array(*map(F.lit, CODES)), number + 1)
+
+
 def digest(content: Column, algorithm: str) -> Column:
     """Lower-case hex digest of bytes."""
     if algorithm == "md5":
@@ -54,8 +58,11 @@ def to_line(hsh: Column, fn: Column, binary: Column | None = None) -> Column:
 LINE = r"(?d)\A([0-9A-Fa-f]+) ([ *])(\S.*)\z"
 
 
-def parse_lines(df: DataFrame, line: str = "value", strict: bool = True) -> DataFrame:
-    """hsh, binflag, fn of manifest lines. Bad lines and digests of no known length raise, or are dropped."""
+def parse_lines(df: DataFrame, line: str = "value", strict: bool = True, binflag: bool | None = None) -> DataFrame:
+    """hsh, binflag (as given, or as in the line), fn, valid (not known yet) of manifest lines.
+
+    Bad lines and digests of no known length raise, or with strict off are dropped; blank lines are passed over.
+    """
     hsh = F.lower(F.regexp_extract(line, LINE, 1))
     good = F.col(line).rlike(LINE) & algorithm_of(hsh).isNotNull()
     out = df.filter(F.col(line).rlike(r"\S"))
@@ -64,7 +71,8 @@ def parse_lines(df: DataFrame, line: str = "value", strict: bool = True) -> Data
         out = out.withColumn(line, F.when(good, F.col(line)).otherwise(wrong))
     else:
         out = out.filter(good)
-    return out.select(hsh.alias("hsh"), (F.regexp_extract(line, LINE, 2) == "*").alias("binflag"), F.regexp_extract(line, LINE, 3).alias("fn"))
+    marked = F.regexp_extract(line, LINE, 2) == "*" if binflag is None else F.lit(binflag)
+    return out.select(hsh.alias("hsh"), marked.alias("binflag"), F.regexp_extract(line, LINE, 3).alias("fn"), F.lit(None).cast("boolean").alias("valid"))
 
 
 def reconcile(sums: DataFrame, files: DataFrame, ignore_path: bool = False) -> DataFrame:

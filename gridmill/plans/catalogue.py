@@ -376,7 +376,7 @@ FROM (SELECT upper(sha1(text)) || CASE WHEN ord % 2 = 0 THEN '  ' ELSE ' *' END
 def manifest_parse(spark, sf_dir):
     f = _files(spark, sf_dir)
     line = F.concat(F.upper(F.sha1(F.col("text").cast("binary"))), F.when(F.col("ord") % 2 == 0, "  ").otherwise(" *"), F.col("fn"))
-    return checksum.parse_lines(f.select(line.alias("value")))
+    return checksum.parse_lines(f.select(line.alias("value"))).drop("valid")
 
 
 def _sums(f: DataFrame) -> DataFrame:

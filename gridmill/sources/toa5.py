@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.catalog import ENVIRONMENT, Header, Logger, Table, load_logger
-from .trees import open_file
+from .trees import given_paths, open_file
 
 #: Bytes of files that one task reads, about.
 TASK_BYTES = 64_000_000
@@ -166,7 +166,7 @@ def row_schema(table: Table) -> T.StructType:
 
 
 class Toa5DataSource(DataSource):
-    """Options: catalog (JSON text or a list of them), table, mode; path is a file, folder or pattern."""
+    """Options: catalog (JSON text or a list of them), table, mode; path is a file, folder or pattern, or paths a JSON list of such."""
 
     @classmethod
     def name(cls) -> str:
@@ -190,12 +190,12 @@ class Toa5DataSource(DataSource):
 
 class _Toa5Reader(DataSourceReader):
     def __init__(self, options: dict, loggers: list[Logger], table: Table):
-        self.path, self.mode = options["path"], options.get("mode", "FAILFAST").upper()
+        self.paths, self.mode = given_paths(options), options.get("mode", "FAILFAST").upper()
         self.loggers, self.table = loggers, table
 
     def partitions(self) -> list[InputPartition]:
-        path = self.path.removeprefix("file:")
-        found = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names] if os.path.isdir(path) else glob.glob(path)
+        inside = lambda path: [os.path.join(d, f) for d, _, names in os.walk(path) for f in names] if os.path.isdir(path) else glob.glob(path)
+        found = {os.path.realpath(f) for path in self.paths for f in inside(path)}
         out, held = [[]], 0
         for f in sorted(found):
             if out[-1] and held + os.path.getsize(f) > TASK_BYTES:
@@ -211,8 +211,8 @@ class _Toa5Reader(DataSourceReader):
                 yield from file_rows([name], f.read(), self.loggers, self.table, self.mode)
 
 
-def read_toa5(spark: SparkSession, path: str, logger: Logger, table: Table, mode: str = "FAILFAST") -> DataFrame:
-    """Rows of all files under any path Spark reads: contents come as binary files, parsed in Arrow batches."""
+def read_toa5(spark: SparkSession, path: str | list[str], logger: Logger, table: Table, mode: str = "FAILFAST") -> DataFrame:
+    """Rows of all files under any path, or paths, Spark reads: contents come as binary files, parsed in Arrow batches."""
     schema = row_schema(table)
 
     def parse(batches: Iterator) -> Iterator:

@@ -113,14 +113,14 @@ class FileTreeDataSource(DataSource):
         return _TreeReader(self.options)
 
 
-def _paths(options: dict) -> list[str]:
+def given_paths(options: dict) -> list[str]:
     given = json.loads(options["paths"]) if "paths" in options else [options["path"]]
     return [p.removeprefix("file://").removeprefix("file:") for p in given]
 
 
 class _TreeReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = _paths(options)
+        self.paths = given_paths(options)
         self.flags = options.get("report_dirs", "false") == "true", options.get("skip_win_hidden", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
@@ -193,7 +193,7 @@ class ArchiveDataSource(DataSource):
 
 class _ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths, self.content = _paths(options), options.get("content", "true") == "true"
+        self.paths, self.content = given_paths(options), options.get("content", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
         """Runs of entries that hold about ARCHIVE_BYTES."""

@@ -49,7 +49,9 @@ def test_digests(spark, algorithm):
 def test_lines(spark):
     h = hashlib.md5(b"x").hexdigest()
     lines = spark.createDataFrame([(f"{h.upper()} *a b.txt",), (f"{h}  c",), ("",)], "value string")
-    assert [tuple(r) for r in checksum.parse_lines(lines).collect()] == [(h, True, "a b.txt"), (h, False, "c")]
+    assert [tuple(r) for r in checksum.parse_lines(lines).collect()] == [(h, True, "a b.txt", None), (h, False, "c", None)]
+    assert [r.binflag for r in checksum.parse_lines(lines, binflag=True).collect()] == [True, True]
+    assert [r[0] for r in spark.range(3).select(checksum.code_name(F.col("id").cast("int"))).collect()] == ["NONE", "SKIP", "NEEDSVALIDATE"]
     bad = spark.createDataFrame([("abc *x",), (f"{h}*x",), (f"{h} *ok",)], "value string")
     assert [r.fn for r in checksum.parse_lines(bad, strict=False).collect()] == ["ok"]
     with pytest.raises(Exception, match="bad manifest line"):
