@@ -172,9 +172,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), keys, pa.array(ids, pa.binary())], names=["bucket", "doc_id", "ids"])
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "ids"], kind="stable")
-        keys = rows["doc_id"].tolist()
-        ids = [np.frombuffer(x, "<u2").astype("<u4") for x in rows["ids"]]
+        keys, raw = rows["doc_id"].tolist(), rows["ids"].tolist()
+        # Ids are compared for equal keys alone.
+        order = sorted(range(len(raw)), key=lambda i: (pd.isna(keys[i]), 0 if pd.isna(keys[i]) else keys[i], raw[i]))
+        keys, ids = [keys[i] for i in order], [np.frombuffer(raw[i], "<u2").astype("<u4") for i in order]
         made = pack_lengths([len(x) for x in ids], capacity)
         return pd.DataFrame(
             {
