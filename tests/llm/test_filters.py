@@ -200,6 +200,59 @@ def test_thresholds():
     assert toxicity.best_threshold(np.array([0.1]), np.array([0])) == toxicity.THRESHOLD
 
 
+def test_every_labelled_row_trains(spark):
+    """A word that only rows beyond any 2,400 toxic ones hold is learnt too."""
+    keys = spark.range(10_000).selectExpr("id as doc_id", "xxhash64(id) as h").orderBy("h").collect()
+    own = [r.doc_id for r in keys if zlib.crc32(b"%d" % r.doc_id) % 4 != 2]
+    bad, clean = own[:3000], own[3000:7000]
+    texts = [(k, "vile words here" if i < 2400 else "murky words here", "en") for i, k in enumerate(bad)] + [(k, "nice words here", "de") for k in clean]
+    docs = spark.createDataFrame([*texts, (20_000, "murky words here", "en"), (20_001, "nice words here", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in bad] + [(k, 0) for k in clean], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scores = model.scores([b"murky words here", b"nice words here"])
+    assert scores[0] > 0.9 and scores[1] < 0.1 and set(model.by_lang) == {"de", "en"}
+
+
+def test_lots_on_executors_and_at_hand(spark, monkeypatch):
+    """Rounds over several lots give what the same rows give in a plain loop, and no row is left out."""
+    r, met = random.Random(6), []
+    rows = [(k, " ".join(r.choice(["nice", "good", "kind"]) for _ in range(6)) + (" vile" if k % 3 == 0 else ""), "en" if k % 2 else None, int(k % 3 == 0)) for k in range(300)]
+    own = [(k, t.encode(), x, y) for k, t, x, y in rows if zlib.crc32(b"%d" % k) % 4 != 2]
+    monkeypatch.setattr(toxicity, "LOT_ROWS", 30)
+    tally = toxicity.thresholds
+    monkeypatch.setattr(toxicity, "thresholds", lambda t: met.append({x: n.sum(axis=1).tolist() for x, n in t.items()}) or tally(t))
+    got = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").drop("toxic"), spark.createDataFrame([(k, y) for k, _, _, y in rows], "doc_id long, toxic int"))
+    want = toxicity.learn(own, sum(y for *_, y in own) / len(own))
+    texts = [b"", b"nice", b"vile good", b"kind vile kind"]
+    assert np.allclose(got.scores(texts), want.scores(texts), atol=1e-5) and got.by_lang == want.by_lang
+    assert met == [{x: [sum((z or "") == x for _, _, z, _ in own), sum(y for _, _, z, y in own if (z or "") == x)] for x in ("", "en")}] * 2
+
+
+def test_rounds_and_lots():
+    for lots in (1, 2, 3, 4, 19, 1000):
+        assert [x for first, end in toxicity.rounds_of(lots) for x in range(first, end)] == list(range(lots))
+    batch = toxicity.pa.RecordBatch.from_pydict({"text": [f"t{i}" for i in range(7)], "lang": ["en"] * 7, "toxic": [0] * 7, "lot": [0, 0, 1, 1, 1, 4, 4]})
+    assert [(lot, part, [t for t, _, _ in held]) for lot, part, held in toxicity._lots([batch.slice(0, 4), batch.slice(4)])] == [(0, 0, [b"t0", b"t1"]), (1, 0, [b"t2", b"t3", b"t4"]), (4, 0, [b"t5", b"t6"])]
+    state = toxicity.Learner.new(0.2).state()
+    state += np.arange(state.size).reshape(state.shape) % 7
+    assert np.allclose(toxicity.Learner.of(state).state()[: toxicity.SLOTS], state[: toxicity.SLOTS], atol=1e-5)
+
+
+def test_copies_of_one_row_are_cut(monkeypatch):
+    monkeypatch.setattr(toxicity, "LOT_ROWS", 2)
+    batch = toxicity.pa.RecordBatch.from_pydict({"text": ["t"] * 9 + ["u"], "lang": ["en"] * 10, "toxic": [0] * 10, "lot": [3] * 9 + [5]})
+    assert [(lot, part, len(held)) for lot, part, held in toxicity._lots([batch])] == [(3, 0, 4), (3, 1, 4), (3, 2, 1), (5, 0, 1)]
+
+
+def test_threshold_of_counted_scores():
+    scores, bad, rows = np.array([0.9, 0.5, 0.1]), np.array([3, 2, 0]), np.array([3, 4, 9])
+    each = np.repeat(scores, rows)
+    truth = np.concatenate([np.arange(n) < b for n, b in zip(rows, bad, strict=True)]).astype(int)
+    assert toxicity.best_threshold(scores, bad, rows) == pytest.approx(0.3)
+    best = max((each >= t) @ truth * 2 / ((each >= t).sum() + truth.sum()) for t in scores)
+    assert (each >= 0.3) @ truth * 2 / ((each >= 0.3).sum() + truth.sum()) == best
+
+
 def article(page):
     body = page[page.index("<article>") + 9 : page.index("</article>")]
     blocks = [html.unescape(re.sub("<[^>]*>", "", x)) for x in re.split("</?(?:p|h1|br)>", body)]
