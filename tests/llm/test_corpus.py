@@ -314,6 +314,44 @@ def test_clustered_vectors_are_pruned():
     assert hits >= 0.9 * 2000
 
 
+def odd_vectors(kind):
+    rng = np.random.default_rng(6)
+    x, bunch = rng.normal(size=(4000, 64)) / 8, rng.integers(0, 20, 4000)
+    centers = rng.normal(size=(20, 64)) / 8
+    if kind == "queries unlike the rest":
+        x[1:] = np.where(np.arange(1, 4000)[:, None] % 20 == 0, x[1:], (centers[bunch] + 0.15 * x)[1:])
+    elif kind == "bunches of unlike spread":
+        x = centers[bunch] + 10.0 ** -rng.uniform(0, 4, 20)[bunch, None] * x
+    elif kind == "copies":
+        x = centers[bunch]
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["queries unlike the rest", "bunches of unlike spread", "copies"])
+def test_nearest_vectors_of_other_rows(spark, kind):
+    """At least 0.95 of the nearest, ties to the smaller vec_id, whatever the rows look like."""
+    x = odd_vectors(kind)
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
+    hits, exact = 0, x.astype(np.float64)
+    for q, mine in got.groupby("query_id"):
+        scores = (exact * exact[q]).sum(axis=1)
+        scores[q] = -np.inf
+        assert len(mine) == 20 and np.allclose(mine["score"], scores[mine["vec_id"]], rtol=1e-12)
+        hits += len(set(np.lexsort((np.arange(4000), -scores))[:20].tolist()) & set(mine["vec_id"].tolist()))
+    assert hits >= 0.95 * 20 * 200
+
+
+def test_cells_are_probed_for_what_the_queries_need():
+    index = ann.Index(np.eye(30), [], 30)
+    tried = np.tile(np.arange(30, 0, -1.0), (10, 1))
+    index.calibrate(tried, [np.zeros(20, np.int64)] * 10)
+    assert index.probes == ann.LEAST_PROBED
+    index.calibrate(tried, [np.arange(20)] * 9 + [np.r_[np.zeros(17, np.int64), 24, 24, 24]])
+    assert index.probes == 25
+    index.calibrate(tried, [np.zeros(0, np.int64)] * 10)
+    assert index.probes == 30
+
+
 def test_groups_hold_a_bounded_number_of_vectors():
     rng = np.random.default_rng(4)
     counts = {c: int(n) for c, n in enumerate(rng.integers(1, 900, 200))} | {200: 5 * ann.GROUP_ROWS + 1}
