@@ -449,16 +449,17 @@ def checksum_tree(spark, sf_dir):
 
     def write(batches):
         for batch in batches:
-            for k, fn, text in zip(batch["ord"], batch["fn"], batch["text"], strict=True):
-                write_file(f"{root}/{fn}", (text or "").encode())
+            # Texts go from the batch to their files, one by one: no copy of a batch is made.
+            for k, fn, text in zip(batch["ord"].to_pylist(), batch["fn"].to_pylist(), batch["text"], strict=True):
+                write_file(f"{root}/{fn}", text.as_buffer() or b"")
                 for kind, every, make in (("links", 20, lambda p: os.symlink("nowhere", p)), ("pipes", 50, os.mkfifo)):
                     if k % every == 0:
                         os.makedirs(f"{root}/{kind}", exist_ok=True)
                         if not os.path.lexists(f"{root}/{kind}/{k}"):
                             make(f"{root}/{kind}/{k}")
-            yield batch[["ord"]]
+            yield batch.select(["ord"])
 
-    d.mapInPandas(write, "ord long").count()
+    d.mapInArrow(write, "ord long").count()
     sums = _sums(d).withColumn("hsh", F.col("hsh"))
     results = checksum.check_hashes(checksum.match_files(spark, sums, [root]))
     return results.select(scalars.relative_to(F.col("fn"), F.lit(root)).alias("fn"), "code")

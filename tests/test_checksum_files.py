@@ -1,18 +1,22 @@
 """Checksums of real files: listing, hashing, matching, validating; audits of trees and archives; path functions."""
 
 import hashlib
+import inspect
 import io
 import os
 import random
 import tarfile
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridmill.__main__ import main
 from gridmill.functions import filenames, scalars
 from gridmill.operators import checksum
+from gridmill.plans.catalogue import QUERIES
 from gridmill.sources import shared, trees
 
 
@@ -198,3 +202,22 @@ def test_shared_folder(spark, tmp_path):
     with pytest.raises(ValueError):
         shared.plain("hdfs://x/y")
     assert shared.kept(spark.range(3), "three").count() == 3
+
+
+def test_tree_files_are_written_without_copies_of_a_batch(spark, monkeypatch):
+    """What the task of checksum_tree holds beside its batch stays far below the batch's texts."""
+    kind, given = type(spark.range(1)), {}
+    for how in ("mapInPandas", "mapInArrow"):
+        real = getattr(kind, how)
+        monkeypatch.setattr(kind, how, lambda df, f, *rest, how=how, real=real: given.setdefault(how, f) and real(df, f, *rest))
+    QUERIES["checksum_tree"](spark, "/root/testdata/sf0.001")
+    ((how, write),) = given.items()
+    names = [f"big/{k}.txt" for k in range(1, 201)]
+    batch = pa.RecordBatch.from_pydict({"ord": list(range(1, 201)), "fn": names, "text": [f"{k:04}" + "ü" * 49_998 for k in range(199)] + [None]})
+    tracemalloc.start()
+    done = sum(len(x) for x in write(iter([batch if how == "mapInArrow" else batch.to_pandas()])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    root = inspect.getclosurevars(write).nonlocals["root"]
+    assert done == 200 and {os.path.getsize(f"{root}/{x}") for x in names[:-1]} == {100_000} and os.path.getsize(f"{root}/{names[-1]}") == 0
+    assert peak < 2_000_000
